@@ -26,9 +26,16 @@ class _Arrays:
     def pow(a, e):
         return np.power(a, e)
 
+    @staticmethod
+    def div(a, b):
+        return a / b
+
 
 class _Columns:
-    exp, log, log1p, expm1, abs, sign = F.exp, F.log, F.log1p, F.expm1, F.abs, F.signum
+    """As arrays do: a division by zero gives infinity or not a number, a logarithm of zero minus infinity; Spark's own
+    would raise or give null."""
+
+    exp, log1p, expm1, abs, sign = F.exp, F.log1p, F.expm1, F.abs, F.signum
 
     @staticmethod
     def _col(x):
@@ -50,6 +57,15 @@ class _Columns:
     def pow(a, e):
         return F.pow(a, F.lit(float(e)))
 
+    @classmethod
+    def div(cls, a, b):
+        a = cls._col(a)
+        return F.when(b != 0, a / b).when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull() & b.isNotNull(), float("nan"))
+
+    @staticmethod
+    def log(a):
+        return F.when(a > 0, F.log(a)).when(a == 0, float("-inf")).when(a.isNotNull(), float("nan"))
+
 
 @dataclass(frozen=True)
 class Kernel:
@@ -164,7 +180,7 @@ def log1p(exponent: float = 1.5) -> Kernel:
 def log(exponent: float = 1.0) -> Kernel:
     e = exponent
     return Kernel(
-        "log", "weight", lambda m, d, w: w * m.log(-m.expm1(-m.pow(d, e))), lambda m, d, w: w * e * m.pow(d, e - 1) / m.expm1(m.pow(d, e))
+        "log", "weight", lambda m, d, w: w * m.log(-m.expm1(-m.pow(d, e))), lambda m, d, w: m.div(w * e * m.pow(d, e - 1), m.expm1(m.pow(d, e)))
     )
 
 
@@ -174,12 +190,12 @@ def inv_power(exponent: float = 1.0) -> Kernel:
             raise ValueError("weights must not be positive")
 
     e = exponent
-    return Kernel("inv_power", "weight", lambda m, d, w: m.abs(w) / m.pow(d, e), lambda m, d, w: -e * m.abs(w) / m.pow(d, e + 1), check)
+    return Kernel("inv_power", "weight", lambda m, d, w: m.div(m.abs(w), m.pow(d, e)), lambda m, d, w: m.div(-e * m.abs(w), m.pow(d, e + 1)), check)
 
 
 def log_ratio(exponent: float = 2.0) -> Kernel:
     e = exponent
-    return Kernel("log_ratio", "weight", lambda m, d, w: w * m.log(m.pow(d, e) / (1.0 + m.pow(d, e))), lambda m, d, w: w * e / (d * (1.0 + m.pow(d, e))))
+    return Kernel("log_ratio", "weight", lambda m, d, w: w * m.log(m.pow(d, e) / (1.0 + m.pow(d, e))), lambda m, d, w: m.div(w * e, d * (1.0 + m.pow(d, e))))
 
 
 def push_and_pull(attractive: Kernel | None = None, repulsive: Kernel | None = None) -> Kernel:
@@ -224,7 +240,7 @@ def loss_quadratic() -> Kernel:
 
 def loss_weighted_quadratic() -> Kernel:
     """Weighted by 1 over the squared deviation."""
-    return Kernel("weighted_quadratic", "deviation", lambda m, d, u: (d - u) * (d - u) / (u * u), lambda m, d, u: 2.0 * (d - u) / (u * u))
+    return Kernel("weighted_quadratic", "deviation", lambda m, d, u: m.div((d - u) * (d - u), u * u), lambda m, d, u: m.div(2.0 * (d - u), u * u))
 
 
 def loss_huber(threshold: float) -> Kernel:
@@ -255,18 +271,18 @@ def loss_logistic() -> Kernel:
 
 
 def loss_fractional() -> Kernel:
-    return Kernel("fractional", "deviation", lambda m, d, u: m.max(u / d, d / u) - 1.0, lambda m, d, u: m.where(d > u, 1.0 / u, -u / (d * d)))
+    return Kernel("fractional", "deviation", lambda m, d, u: m.max(m.div(u, d), m.div(d, u)) - 1.0, lambda m, d, u: m.where(d > u, m.div(1.0, u), m.div(-u, d * d)))
 
 
 def loss_soft_fractional(gamma: float = 10.0) -> Kernel:
     if gamma <= 0:
         raise ValueError("gamma must be positive")
-    s = lambda m, d, u: _logistic(m, gamma * (d / u - u / d))
+    s = lambda m, d, u: _logistic(m, gamma * (m.div(d, u) - m.div(u, d)))
     return Kernel(
         "soft_fractional",
         "deviation",
-        lambda m, d, u: m.max(u / d, d / u) + (m.log1p(m.exp(-gamma * m.abs(u / d - d / u))) - float(np.log(2.0))) / gamma - 1.0,
-        lambda m, d, u: s(m, d, u) / u - (1.0 - s(m, d, u)) * u / (d * d),
+        lambda m, d, u: m.max(m.div(u, d), m.div(d, u)) + (m.log1p(m.exp(-gamma * m.abs(m.div(u, d) - m.div(d, u)))) - float(np.log(2.0))) / gamma - 1.0,
+        lambda m, d, u: m.div(s(m, d, u), u) - m.div((1.0 - s(m, d, u)) * u, d * d),
     )
 
 
@@ -278,7 +294,7 @@ def loss_clipped_quadratic(threshold: float) -> Kernel:
 def loss_weighted_power(exponent: float) -> Kernel:
     e = exponent
     return Kernel(
-        "weighted_power", "deviation", lambda m, d, u: m.pow(m.abs(d - u), e) / (u * u), lambda m, d, u: e * m.pow(m.abs(d - u), e - 1) * m.sign(d - u) / (u * u)
+        "weighted_power", "deviation", lambda m, d, u: m.div(m.pow(m.abs(d - u), e), u * u), lambda m, d, u: m.div(e * m.pow(m.abs(d - u), e - 1) * m.sign(d - u), u * u)
     )
 
 

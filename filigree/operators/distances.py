@@ -86,7 +86,7 @@ def gradient(edges: DataFrame, points: DataFrame, kernel: Kernel, weight: str =
     rows = gather(edges, points)
     count = edges.count()
     d = V.distance(F.col("xi"), F.col("xj"))
-    pull = kernel.slope_column(F.col("_d"), F.col(weight)) / F.col("_d")
+    pull = F.when(F.col("_d") > 0, kernel.slope_column(F.col("_d"), F.col(weight)) / F.col("_d"))
     rows = rows.withColumn("_d", d).withColumn("_g", pull)
     rows = rows.withColumn("_g", F.when(F.col("_g").isNull() | F.isnan("_g") | (F.abs("_g") == float("inf")), 1.0).otherwise(F.col("_g")) / count)
     diff = V.minus(F.col("xi"), F.col("xj"))

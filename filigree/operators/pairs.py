@@ -14,7 +14,9 @@ def n_pairs(n: int) -> int:
 
 def decode(e: Column, n: int) -> tuple[Column, Column]:
     """Item numbers (u, v) of pair number e in row-major upper-triangle order. The float root may be off by one for
-    very many items, so u is put right by whole numbers."""
+    very many items, so u is put right by whole numbers. Above 1.5e9 items the numbers would not fit a BIGINT."""
+    if n > 1_500_000_000:
+        raise ValueError("at most 1.5e9 items")
     e = e.cast("bigint")
     first = F.floor((2 * n - 1 - F.sqrt(((2 * n - 1) * (2 * n - 1) - 8 * e).cast("double"))) / 2).cast("bigint")
     begin = lambda u: F.shiftright(u * (F.lit(2 * n - 1).cast("bigint") - u), 1)

@@ -116,7 +116,9 @@ def pin(points: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def on_sphere(points: DataFrame, radius: float = 1.0) -> DataFrame:
-    return points.withColumn("x", V.scaled(F.col("x"), radius / V.norm(F.col("x"))))
+    """Every point moved to the sphere along its ray; the origin stays."""
+    size = V.norm(F.col("x"))
+    return points.withColumn("x", F.when(size > 0, V.scaled(F.col("x"), F.try_divide(F.lit(float(radius)), size))).otherwise(F.col("x")))
 
 
 def standard_scale(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,17 @@ def read_npz_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.createDataFrame(table, "src bigint, dst bigint, weight double"), int(shape[0]))
 
 
+def _frame(spark: SparkSession, a: np.ndarray) -> DataFrame:
+    """(id, x) of a matrix or (id, value) of a vector, by Arrow."""
+    a = np.asarray(a, float)
+    ids = pa.array(np.arange(len(a)), pa.int64())
+    if a.ndim == 1:
+        return spark.createDataFrame(pa.table({"id": ids, "value": a}))
+    flat = a.reshape(len(a), -1)
+    ends = pa.array(np.arange(len(a) + 1) * flat.shape[1], pa.int32())
+    return spark.createDataFrame(pa.table({"id": ids, "x": pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))}))
+
+
 def read_idx(spark: SparkSession, path: str) -> DataFrame:
     """(id, x) of an IDX image file, or (id, value) of an IDX label file; .gz as well."""
     need(path)
@@ -88,9 +100,7 @@ def read_idx(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("not an IDX file")
     shape = struct.unpack(f">{dims}I", raw[4 : 4 + 4 * dims])
     a = np.frombuffer(raw, types[kind], offset=4 + 4 * dims).reshape(shape).astype(float)
-    if dims == 1:
-        return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "value": a}))
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "x": list(a.reshape(len(a), -1))}), "id bigint, x array<double>")
+    return _frame(spark, a)
 
 
 def read_csv_matrix(spark: SparkSession, path: str, columns: list[str] | None = None, id_column: str | None = None) -> DataFrame:
@@ -105,7 +115,7 @@ def dense_matrix(spark: SparkSession, array: np.ndarray) -> DataFrame:
     a = np.asarray(array)
     if a.dtype.kind not in "fiub":
         raise ValueError("numbers expected")
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "x": list(a.reshape(len(a), -1).astype(float))}), "id bigint, x array<double>")
+    return _frame(spark, a)
 
 
 def sparse_matrix(rows: DataFrame, n_features: int) -> DataFrame:
