@@ -1,15 +1,18 @@
 """The k nearest vectors of every query vector: block matrix join with int8 tiles.
 
-Vectors of a data set are sorted by grid cell and cut into blocks of at most BLOCK rows. A block keeps its centre and
-each row as int8 steps from it, with the norm of what rounding took away. A tile joins a block of queries with a block
+Vectors of a data set are sorted by a coarse cell and cut into blocks of at most BLOCK rows, so that a group of similar
+vectors has blocks of its own. A block keeps its centre, each row as int8 steps from it with the norm of what rounding
+took away, and the distance within which a row has k others of its block. A tile joins a block of queries with a block
 of vectors of the same data set: the int8 product gives each distance up to the two rounding norms, so a pair survives
 only if its lower bound is within the k-th smallest upper bound of its query; survivors are recomputed in float64 and
-the tile's best k of each query go on to a merge. The result is exact.
+merged into the best k of each row. The result is exact.
+
+Tiles are made between stacks of 2**STACK_BITS blocks, so that a data set's rows are sent once per stack of queries, not
+once per block.
 
 The product runs on float32 copies of the int8 steps: sums stay below 2**24, so it is exact, and it uses the BLAS that
-NumPy has for floats only. Blocks are at most BLOCK rows, so a hot data set becomes more tiles, not larger ones. Tiles
-that cannot hold a neighbour are left out beforehand: by centres and radii, a block's distance is above the bound that
-another block with k rows gives.
+NumPy has for floats only. Blocks are at most BLOCK rows, so a hot data set becomes more tiles, not larger ones. Block
+pairs, and rows within a tile, whose centres and radii leave no room for a neighbour are left out.
 """
 
 from __future__ import annotations
@@ -19,17 +22,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.groups import CELL, grid
 from filigree.session import materialize
 
 BLOCK = 1024
-BLOCK_SCHEMA = "dataset_id bigint, block bigint, n int, dims int, ids binary, x binary, q binary, err binary, centre binary, scale double, radius double"
+PURE = 256
+STACK_BITS = 3
+BLOCK_SCHEMA = "dataset_id bigint, block bigint, n int, dims int, ids binary, x binary, q binary, err binary, near binary, centre binary, scale double, radius double, reach double"
 
 
-def _pack(batches):
-    """Rows in sort order to blocks: cut at BLOCK rows, at a new data set and at the end of the partition."""
-    kept: list[pd.DataFrame] = []
+def _pack(batches, k: int):
+    """Rows in sort order to blocks: long runs of one cell by themselves, shorter ones together, never two data sets."""
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
     part, seq = None, 0
+    mixed: list[pd.DataFrame] = []
+    kept = None
 
     def block(rows: pd.DataFrame):
         nonlocal seq
@@ -39,120 +45,197 @@ def _pack(batches):
         scale = float(np.abs(off).max()) / 127 or 1.0
         q = np.rint(off / scale).astype(np.int8)
         err = np.sqrt(((off - q * scale) ** 2).sum(axis=1))
-        radius = float(np.sqrt((off**2).sum(axis=1)).max())
+        size = (off**2).sum(axis=1)
+        near = np.full(len(x), np.inf)
+        if len(x) > k:
+            d2 = size[:, None] + size[None, :] - 2 * (off @ off.T)
+            np.fill_diagonal(d2, np.inf)
+            near = np.sqrt(np.maximum(np.partition(d2, k - 1, axis=1)[:, k - 1], 0) + 1e-11 * (1 + size.max())) * (1 + 1e-9)
         seq += 1
-        return (int(rows["dataset_id"].iloc[0]), (part << 32) + seq, *x.shape, rows["id"].to_numpy(np.int64).tobytes(), x.tobytes(), q.tobytes(), err.tobytes(), centre.tobytes(), scale, radius)
+        return (int(rows["dataset_id"].iloc[0]), (part << 32) + seq, *x.shape, rows["id"].to_numpy(np.int64).tobytes(), x.tobytes(), q.tobytes(), err.tobytes(), near.tobytes(), centre.tobytes(), scale, float(np.sqrt(size.max())), float(near.max()))
+
+    def flush():
+        if mixed:
+            rows = pd.concat(mixed, ignore_index=True)
+            mixed.clear()
+            yield block(rows)
+
+    def runs(rows: pd.DataFrame, last: bool):
+        """Blocks of the runs that have ended; returns through `kept` what may go on in the next batch."""
+        nonlocal kept
+        ds, cell = rows["dataset_id"].to_numpy(), rows["cell"].to_numpy()
+        ends = np.r_[np.flatnonzero((ds[1:] != ds[:-1]) | (cell[1:] != cell[:-1])) + 1, len(rows)]
+        lo = 0
+        for hi in ends:
+            ended = last or hi < len(rows)
+            while hi - lo >= BLOCK:
+                yield block(rows.iloc[lo : lo + BLOCK])
+                lo += BLOCK
+            if not ended:
+                break
+            if hi - lo >= PURE:
+                yield block(rows.iloc[lo:hi])
+            elif hi > lo:
+                if mixed and (mixed[0]["dataset_id"].iloc[0] != ds[lo] or sum(map(len, mixed)) + hi - lo > BLOCK):
+                    yield from flush()
+                mixed.append(rows.iloc[lo:hi])
+            lo = hi
+        kept = rows.iloc[lo:] if lo < len(rows) else None
 
-    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
     for b in batches:
-        if not len(b):
-            continue
-        if part is None:
-            part = int(b["part"].iloc[0])
-        kept.append(b)
-        rows = pd.concat(kept, ignore_index=True)
-        ds = rows["dataset_id"].to_numpy()
-        out, lo = [], 0
-        for hi in np.r_[np.flatnonzero(ds[1:] != ds[:-1]) + 1, len(ds)]:
-            while hi - lo >= BLOCK or (hi < len(ds) and hi > lo):
-                end = min(hi, lo + BLOCK)
-                out.append(block(rows.iloc[lo:end]))
-                lo = end
-        kept = [rows.iloc[lo:]] if lo < len(rows) else []
-        if out:
-            yield pd.DataFrame(out, columns=names)
-    if kept and len(kept[0]):
-        yield pd.DataFrame([block(pd.concat(kept, ignore_index=True))], columns=names)
-
-
-def blocks(vectors: DataFrame, parts: int, width: float = 1.0) -> DataFrame:
-    """vectors (dataset_id, id, features) as blocks. Range partitions with the id as last key: a hot data set or cell
-    is cut like any other."""
-    keys = [*CELL, "id"]
-    ordered = grid(vectors, width).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    packed = ordered.select("dataset_id", "id", "features", F.spark_partition_id().alias("part")).mapInPandas(_pack, BLOCK_SCHEMA)
-    return materialize(packed)
-
-
-def _unpack(r, side: str):
-    n, dims = getattr(r, f"{side}_n"), r.dims
-    get = lambda k, t: np.frombuffer(getattr(r, f"{side}_{k}"), dtype=t)
-    return get("ids", np.int64), get("x", np.float64).reshape(n, dims), get("q", np.int8).reshape(n, dims), get("err", np.float64), get("centre", np.float64), getattr(r, f"{side}_scale")
-
-
-def tile(a, b, k: int, reach: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers in a and b, and distances, of the tile's k nearest rows of b for each row of a (or fewer)."""
+        if len(b):
+            part = int(b["part"].iloc[0]) if part is None else part
+            out = list(runs(b if kept is None else pd.concat([kept, b], ignore_index=True), False))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+    out = list(runs(kept.reset_index(drop=True), True)) if kept is not None else []
+    out += list(flush())
+    if out:
+        yield pd.DataFrame(out, columns=names)
+
+
+def blocks(vectors: DataFrame, parts: int, k: int) -> DataFrame:
+    """vectors (dataset_id, id, features) as blocks.
+
+    Rows are sorted by a coarse cell of all features (twice their root mean square wide), so that a group of similar
+    rows is one run and its blocks are compact. Range partitions have the id as last key: a hot data set or cell is
+    cut like any other.
+    """
+    square = F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v) / F.size("features")
+    width = vectors.groupBy("dataset_id").agg((F.sqrt(F.avg(square)) * 2).alias("width"))
+    cell = F.xxhash64(F.transform("features", lambda v: F.floor(v / F.col("width"))))
+    keys = ["dataset_id", "cell", "id"]
+    ordered = vectors.join(width, "dataset_id").withColumn("cell", F.when(F.col("width") > 0, cell).otherwise(F.lit(0)))
+    ordered = ordered.select("dataset_id", "cell", "id", "features").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return materialize(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(lambda t: _pack(t, k), BLOCK_SCHEMA))
+
+
+def _unpack(r):
+    n, dims = r["n"], r["dims"]
+    get = lambda c, t: np.frombuffer(r[c], dtype=t)
+    return get("ids", np.int64), get("x", np.float64).reshape(n, dims), get("q", np.int8).reshape(n, dims), get("err", np.float64), get("centre", np.float64), r["scale"]
+
+
+def tile(a, b, k: int, reach=np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers in a and b, and distances, of the tile's k nearest rows of b within reach (a number, or one for
+    each row) of each row of a, by row, distance and id; or fewer."""
     ids_a, xa, qa, ea, ca, sa = a
     ids_b, xb, qb, eb, cb, sb = b
+    reach = np.broadcast_to(np.asarray(reach, float), (len(ids_a),))
     fa, fb = qa.astype(np.float32), qb.astype(np.float32)
     gap = ca - cb
-    cross = (fa @ fb.T).astype(np.float64) * (-2 * sa * sb)
-    cross += (sa * sa * np.einsum("ij,ij->i", fa, fa, dtype=np.float64) + 2 * sa * (fa @ gap) + gap @ gap)[:, None]
-    cross += (sb * sb * np.einsum("ij,ij->i", fb, fb, dtype=np.float64) - 2 * sb * (fb @ gap))[None, :]
-    mid = np.sqrt(np.maximum(cross, 0, out=cross), out=cross)
-    slack = 1e-4 * (1 + np.abs(gap).max() + 127 * (sa + sb))  # of the float32 and root arithmetic
-    bound = ea[:, None] + eb[None, :] + slack
-    same = ids_a[:, None] == ids_b[None, :]
-    high = mid + bound
-    high[same] = np.inf
-    if high.shape[1] > k:
-        limit = np.partition(high, k - 1, axis=1)[:, k - 1]
-    else:
-        limit = np.full(len(ids_a), np.inf)
-    i, j = np.nonzero((mid - bound <= np.minimum(limit, reach)[:, None]) & ~same)
+    mid = (fa @ fb.T).astype(np.float64)
+    mid *= -2 * sa * sb
+    mid += (sa * sa * np.einsum("ij,ij->i", fa, fa, dtype=np.float64) + 2 * sa * (fa @ gap) + gap @ gap)[:, None]
+    mid += (sb * sb * np.einsum("ij,ij->i", fb, fb, dtype=np.float64) - 2 * sb * (fb @ gap))[None, :]
+    np.sqrt(np.maximum(mid, 0, out=mid), out=mid)
+    slack = 1e-4 * (1 + np.abs(gap).max(initial=0) + 127 * (sa + sb))  # of the float32 and root arithmetic
+    own, at_a, at_b = np.intersect1d(ids_a, ids_b, return_indices=True)
+    mid[at_a, at_b] = np.inf
+    limit = reach
+    if mid.shape[1] > k:
+        high = mid + eb[None, :]
+        limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1] + ea + slack)
+    mid -= eb[None, :]
+    i, j = np.nonzero((mid <= (limit + ea + slack)[:, None]) & (mid < np.inf))
+    if len(i) > 4 * k * len(ids_a):
+        # steps too coarse for these rows: the float product narrows the survivors down
+        ya, yb = xa - ca, xb - ca
+        na, nb = np.einsum("ij,ij->i", ya, ya), np.einsum("ij,ij->i", yb, yb)
+        d2 = na[:, None] + nb[None, :] - 2 * (ya @ yb.T)
+        d2[at_a, at_b] = np.inf
+        best = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(d2), np.inf)
+        fuzz = 1e-11 * (1 + na.max(initial=0) + nb.max(initial=0))
+        i, j = np.nonzero(d2 <= (np.minimum(best, limit * limit) * (1 + 1e-9) + fuzz)[:, None])
+        inside = np.isfinite(d2[i, j])
+        i, j = i[inside], j[inside]
     d = np.empty(len(i))
     for at in range(0, len(i), 65536):
         s = slice(at, at + 65536)
         d[s] = np.sqrt(((xa[i[s]] - xb[j[s]]) ** 2).sum(axis=1))
     order = np.lexsort((ids_b[j], d, i))
     i, j, d = i[order], j[order], d[order]
-    first = np.searchsorted(i, i)
-    best = np.arange(len(i)) - first < k
+    best = np.arange(len(i)) - np.searchsorted(i, i) < k
     return i[best], j[best], d[best]
 
 
+class _Best:
+    """The k best of each row of a block so far: what a heap per row would hold, as sorted arrays."""
+
+    def __init__(self, block, near: np.ndarray, k: int):
+        self.block, self.k = block, k
+        n = len(block[0])
+        self.ids, self.d, self.reach = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), np.inf), near.copy()
+
+    def meet(self, other, radius: float) -> None:
+        ids, x, q, err, centre, scale = self.block
+        low = np.sqrt(((x - other[4]) ** 2).sum(axis=1)) * (1 - 1e-9) - radius * (1 + 1e-9) - 1e-9
+        rows = np.flatnonzero(low <= self.reach)
+        if not len(rows):
+            return
+        i, j, d = tile((ids[rows], x[rows], q[rows], err[rows], centre, scale), other, self.k, self.reach[rows])
+        new_d, new_i = np.full((len(rows), self.k), np.inf), np.full((len(rows), self.k), np.iinfo(np.int64).max)
+        at = np.arange(len(i)) - np.searchsorted(i, i)
+        new_d[i, at], new_i[i, at] = d, other[0][j]
+        all_d, all_i = np.hstack([self.d[rows], new_d]), np.hstack([self.ids[rows], new_i])
+        order = np.lexsort((all_i, all_d), axis=1)[:, : self.k]
+        self.d[rows], self.ids[rows] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+        self.reach = np.minimum(self.reach, self.d[:, -1])
+
+    def rows(self) -> pd.DataFrame:
+        i, c = np.nonzero(np.isfinite(self.d))
+        return pd.DataFrame({"src": self.block[0][i], "dst": self.ids[i, c], "distance": self.d[i, c]})
+
+
 def _tiles(batches, k: int):
+    """The block pairs of two joined stacks, near ones first; each query row's best k of the whole tile go on."""
     for t in batches:
         for r in t.itertuples(index=False):
-            a, b = _unpack(r, "a"), _unpack(r, "b")
-            i, j, d = tile(a, b, k, r.reach)
-            yield pd.DataFrame({"src": a[0][i], "dst": b[0][j], "distance": d})
-
-
-def _reach(batches, k: int):
-    """For each query block and each other block of the data set: lower bound of their rows' distances, and an upper
-    bound of the k-th distance if the block has more than k rows."""
+            a = {x["block"]: _Best(_unpack(x), np.frombuffer(x["near"], np.float64), k) for x in r.a_stack}
+            b = {x["block"]: (_unpack(x), x["radius"]) for x in r.b_stack}
+            used = set()
+            for x in sorted(r.todo, key=lambda x: x["low"]):
+                a[x["a_block"]].meet(*b[x["b_block"]])
+                used.add(x["a_block"])
+            for v in sorted(used):
+                yield a[v].rows()
+
+
+def _near_blocks(batches):
+    """The pairs of a query block and a block of its data set that may hold neighbours: the least distance that
+    centres and radii allow is within the reach of the query block's rows."""
     for t in batches:
         if not len(t):
             continue
         gap = [np.frombuffer(a, np.float64) - np.frombuffer(b, np.float64) for a, b in zip(t["a_centre"], t["b_centre"])]
         d = np.array([np.sqrt(g @ g) for g in gap])
-        r = t["a_radius"].to_numpy() + t["b_radius"].to_numpy()
-        t["low"] = np.maximum(d - r, 0) * (1 - 1e-9) - 1e-9
-        t["high"] = np.where(t["b_n"] > k, (d + r) * (1 + 1e-9) + 1e-9, np.inf)
-        yield t[["a_block", "b_block", "low", "high"]]
+        t["low"] = np.maximum(d - t["a_radius"].to_numpy() - t["b_radius"].to_numpy(), 0) * (1 - 1e-9) - 1e-9
+        yield t.loc[t["low"] <= t["a_reach"], ["a_block", "b_block", "low"]]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, rows: int | None = None) -> DataFrame:
     """(src, dst, distance, rank): the k nearest other vectors of the same data set for each query.
 
-    vectors: (dataset_id, id, features) without repeated ids; queries: rows of the same kind, or None for all of
-    vectors. Ties go to the smaller id. Fewer than k others give fewer rows. Empty input gives an empty result.
+    vectors: (dataset_id, id, features) without repeated ids; queries: some rows of vectors, or None for all. Ties go to the smaller id. Fewer than k others give fewer rows. Empty input gives an empty result.
     rows: how many vectors there are, if known, for the number of sort partitions.
     """
     spark = vectors.sparkSession
     parts = lambda n: max(1, min(4096, -(-n // (8 * BLOCK))))
-    data = blocks(vectors, parts(rows if rows is not None else vectors.count()))
-    asks = data if queries is None else blocks(queries, parts(queries.count()))
-    light = ["dataset_id", "block", "n", "centre", "radius"]
+    data = blocks(vectors, parts(rows if rows is not None else vectors.count()), k)
+    asks = data if queries is None else blocks(queries, parts(queries.count()), k)
     side = lambda t, p, cols: t.select(*(F.col(c).alias(c if c == "dataset_id" else f"{p}_{c}") for c in cols))
-    pairs = side(asks, "a", light).join(side(data, "b", light), "dataset_id").drop("dataset_id")
+    light = ["dataset_id", "block", "centre", "radius"]
+    pairs = side(asks, "a", [*light, "reach"]).join(side(data, "b", light), "dataset_id").drop("dataset_id")
     spread = pairs.repartition(max(8, spark.sparkContext.defaultParallelism))
-    bounds = materialize(spread.mapInPandas(lambda t: _reach(t, k), "a_block bigint, b_block bigint, low double, high double"))
-    reach = bounds.groupBy("a_block").agg(F.min("high").alias("reach"))
-    todo = bounds.join(reach, "a_block").where("low <= reach").select("a_block", "b_block", "reach")
-    heavy = ["block", "n", "ids", "x", "q", "err", "centre", "scale"]
-    tiles = todo.join(side(asks, "a", [*heavy, "dims"]), "a_block").join(side(data, "b", heavy), "b_block").withColumnRenamed("a_dims", "dims")
-    found = tiles.mapInPandas(lambda t: _tiles(t, k), "src bigint, dst bigint, distance double")
+    todo = spread.mapInPandas(_near_blocks, "a_block bigint, b_block bigint, low double")
+    stack = lambda c: F.shiftright(c, STACK_BITS)
+    todo = todo.groupBy(stack("a_block").alias("a"), stack("b_block").alias("b")).agg(F.collect_list(F.struct("a_block", "b_block", "low")).alias("todo"))
+    todo = materialize(todo)
+    heavy = F.collect_list(F.struct("block", "n", "dims", "ids", "x", "q", "err", "near", "centre", "scale", "radius"))
+    stacks = lambda t, p: t.groupBy(stack("block").alias(p)).agg(heavy.alias(f"{p}_stack"))
+    a, b = materialize(stacks(asks, "a")), materialize(stacks(data, "b"))
+    # a fixed number of partitions: by size alone they would be merged to a few, though the work goes with tiles
+    joined = todo.join(a, "a").repartition(max(8, min(4096, todo.count() // 4)), "b").join(b, "b")
+    found = joined.select("todo", "a_stack", "b_stack").mapInPandas(lambda t: _tiles(t, k), "src bigint, dst bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
