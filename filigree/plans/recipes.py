@@ -17,7 +17,7 @@ from filigree.operators.paths import graph_knn, shortest_paths
 from filigree.operators.transform import natural_length
 from filigree.plans.constraints import Anchored, Centered, Constraint, Standardized
 from filigree.plans.problem import MDE
-from filigree.plans.spectral import spectral_block
+from filigree.plans.spectral import spectral_start
 from filigree.session import materialize
 
 EXACT_ITEMS = 200_000
@@ -44,6 +44,18 @@ def neighbour_graph(data: DataFrame | Graph, k: int, max_distance: float | None
     return N.knn_edges(near, max_distance)
 
 
+def _coincide(edges: DataFrame, start: np.ndarray) -> bool:
+    """Whether the ends of any edge start at the same place."""
+    shared = edges.sparkSession.sparkContext.broadcast(start)
+
+    def same(batches):
+        x = shared.value
+        for b in batches:
+            yield b.loc[(x[b["src"].to_numpy()] == x[b["dst"].to_numpy()]).all(axis=1), ["src"]]
+
+    return bool(edges.select("src", "dst").mapInPandas(same, "src bigint").limit(1).count())
+
+
 def preserve_neighbors(
     data: DataFrame | Graph, embedding_dim: int = 2, attractive: K.Kernel | None = None, repulsive: K.Kernel | None | str = "default",
     constraint: Constraint | None = None, n_neighbors: int | None = None, repulsive_fraction: float | None = None,
@@ -71,8 +83,7 @@ def preserve_neighbors(
     edges = materialize(_anchor_filter(neighbour_graph(data, k, max_distance), constraint))
     rng = np.random.default_rng(seed)
     if init == "quadratic":
-        e = edges.toPandas()
-        start = spectral_block(e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["weight"].to_numpy(float), n, embedding_dim, seed)
+        start = spectral_start(edges, n, embedding_dim, seed)
         if not isinstance(constraint, (Centered, Standardized)):
             start = constraint.project(start)
     else:
@@ -86,8 +97,7 @@ def preserve_neighbors(
         push = _anchor_filter(push.withColumn("weight", F.lit(-1.0)), constraint)
         edges = materialize(edges.unionByName(push))
         kernel = K.push_and_pull(attractive, repulsive)
-    e = edges.select("src", "dst").toPandas()
-    if len(e) and (np.abs(start[e["src"]] - start[e["dst"]]).sum(axis=1) == 0).any():
+    if _coincide(edges, start):
         start = start + 1e-4 * rng.standard_normal(start.shape)
     return MDE(n, embedding_dim, edges, kernel, constraint, start)
 

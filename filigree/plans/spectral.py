@@ -103,11 +103,29 @@ def spectral_block(src, dst, w, n: int, m: int, seed: int = 0) -> np.ndarray:
     return Standardized().project(x)
 
 
+def spectral_start(edges: DataFrame, n: int, m: int, seed: int = 0, local_edges: int | None = None) -> np.ndarray:
+    """spectral_block() of an edge table (src, dst, weight).
+
+    Edges beyond local_edges stay in Spark: a product with the Laplacian is then half the number of edges times the
+    gradient of the quadratic penalty, which is one job over packed edges; only blocks of n rows come to the driver.
+    """
+    from filigree.functions.kernels import quadratic
+    from filigree.plans.solver import LOCAL_EDGES, SparkObjective
+
+    if edges.count() <= (LOCAL_EDGES if local_edges is None else local_edges):
+        e = edges.select("src", "dst", "weight").toPandas()
+        return spectral_block(e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["weight"].to_numpy(float), n, m, seed)
+    product = SparkObjective(edges, quadratic(), n, 3 * (m + 4))
+    degree = np.zeros(n)
+    rows = Graph(edges, n).degrees().select("id", "strength").toPandas()
+    degree[rows["id"].to_numpy(np.int64)] = rows["strength"].to_numpy()
+    x = smallest(lambda v: product(np.ascontiguousarray(v))[1] * product.p / 2, degree, m, seed, max_iter=60, tol=1e-5)[1]
+    return Standardized().project(x * np.sign(x[np.abs(x).argmax(axis=0), np.arange(m)]))
+
+
 def spectral(graph: Graph, m: int, seed: int = 0) -> DataFrame:
     """(id, x) of spectral_block(); of a graph in several parts, further null vectors are coordinates."""
-    e = graph.edges.toPandas()
-    x = spectral_block(e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["weight"].to_numpy(float), graph.n_items, m, seed)
-    return to_frame(graph.edges.sparkSession, x)
+    return to_frame(graph.edges.sparkSession, spectral_start(graph.edges, graph.n_items, m, seed))
 
 
 def to_frame(spark, x: np.ndarray) -> DataFrame:

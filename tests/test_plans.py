@@ -98,6 +98,18 @@ def test_pca_and_spectral(spark):
     np.testing.assert_allclose(np.linalg.svd(dense.T @ iterated / 50)[1], 1, atol=1e-6)
 
 
+def test_spectral_with_edges_in_spark(spark):
+    rng = np.random.default_rng(1)
+    e = spark.createDataFrame([(i, j, float(rng.uniform(0.5, 2))) for i in range(40) for j in range(i + 1, 40) if j == i + 1 or rng.random() < 0.2], EDGE)
+    a, b = spectral.spectral_start(e, 40, 2), spectral.spectral_start(e, 40, 2, local_edges=0)
+    np.testing.assert_allclose(np.linalg.svd(a.T @ b / 40)[1], 1, atol=1e-3)
+
+
+def test_coinciding_starts(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], EDGE)
+    assert recipes._coincide(e, np.array([[0.0, 1], [0, 1], [2, 2]])) and not recipes._coincide(e, np.array([[0.0, 1], [0, 2], [2, 2]]))
+
+
 def test_recipes(spark):
     x = np.random.default_rng(0).uniform(size=(100, 10))
     p = points(spark, x)
