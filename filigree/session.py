@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,11 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_made: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Tables of this process in folders that it can reach as files; others stay for the cluster's own cleaning."""
+    for path in _made:
+        if path.startswith("file:") or path.startswith("/"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it back: lineage is cut and the rows are fixed,
     so a lost executor costs only a re-read. The path is kept on the result for release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/filigree-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._filigree_path = path
