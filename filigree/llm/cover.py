@@ -1,8 +1,9 @@
 """A varied subset of given size: multi-attribute grid round-robin, in SQL.
 
 Features are binned to cells (the grid of groups.py), records are ranked within their cell by a hash, and the subset
-is the first k of each data set by rank, then cell (the emptier cells first, then by hash), so each cell gives one
-record before any gives a second. Large groups of similar records fill few cells and get few places.
+is the first k of each data set by rank, then cell (by hash), so each cell gives one record before any gives a second.
+Large groups of similar records fill few cells and get few places; where k is below the number of cells, how full a
+cell is has no say in whether it gets a place.
 """
 
 from __future__ import annotations
@@ -37,10 +38,9 @@ def round_robin(usable: DataFrame, requests: DataFrame, width: float = 1.0) -> D
     """
     asked = usable.join(requested(requests), "dataset_id")
     cells = grid(asked, width).drop("features")
-    crowd = cells.groupBy(*CELL).agg(F.count("*").alias("n"))
     shuffled = [F.xxhash64("dataset_id", "id", F.lit(1)), F.col("id")]
-    ranked = top(cells, CELL, shuffled, "k", "rank").join(crowd, CELL)
-    order = [F.col("rank"), F.col("n"), F.xxhash64(*CELL, F.lit(2)), *(F.col(c) for c in CELL[1:]), F.col("id")]
+    ranked = top(cells, CELL, shuffled, "k", "rank")
+    order = [F.col("rank"), F.xxhash64(*CELL, F.lit(2)), *(F.col(c) for c in CELL[1:]), F.col("id")]
     return top(ranked, ["dataset_id"], order, "k", "place").select("dataset_id", "id", "place")
 
 

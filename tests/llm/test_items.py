@@ -150,6 +150,16 @@ def test_round_robin(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, cover.round_robin(df.repartition(3), asks).collect()))
 
 
+def test_round_robin_below_the_number_of_cells_keeps_large_groups_and_lone_items(spark):
+    rng = np.random.default_rng(3)
+    at = 4.0 * rng.permutation(8000)[:60, None] // np.array([1, 20, 400]) % 80 + 0.5
+    rows = [x for k, c in enumerate(at) for x in (c + rng.normal(0, 0.02, (10, 3)) if k < 20 else [c])]
+    df = frame(spark, {1: list(enumerate(rows))})
+    picked = [r["id"] for r in cover.round_robin(df, spark.createDataFrame([(1, 30)], "dataset_id bigint, subset_size int")).collect()]
+    large = {i // 10 for i in picked if i < 200}
+    assert len(picked) == 30 and len(large) >= 5 and sum(i >= 200 for i in picked) >= 10
+
+
 def test_flow_meets_targets_floors_and_shows_shortfalls():
     quota_, short = quota.solve({"a": 10, "b": 5, "c": 3}, {("a", "x"): 6, ("a", "y"): 20, ("b", "x"): 2, ("d", "x"): 9})
     drawn = {k: sum(n for (c, _), n in quota_.items() if c == k) for k in "abc"}
