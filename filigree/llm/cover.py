@@ -1,9 +1,11 @@
-"""A varied subset of given size: multi-attribute grid round-robin, in SQL.
-
-Features are binned to cells (the grid of groups.py), records are ranked within their cell by a hash, and the subset
-is the first k of each data set by rank, then cell (by hash), so each cell gives one record before any gives a second.
-Large groups of similar records fill few cells and get few places; where k is below the number of cells, how full a
-cell is has no say in whether it gets a place.
+"""A varied subset of given size: multi-attribute grid round-robin.
+
+Features are binned to cells (the grid of groups.py). As the grid sees three features only, each cell is refined by
+exact distance over all features: its records are told apart by the component of alike records they belong to. Ranks
+and places are SQL: records are ranked within the cell of their component by a hash, those of a component by that rank,
+then cell (by hash), and the subset is the first k of each data set by rank in the component, then component (by hash).
+So each component gives one record before any gives a second, and its further records come from all its cells in turn.
+Where k is below the number of components, their sizes have no say in which of them get a place.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.groups import CELL, Alike, grid
+from filigree.llm.groups import CELL, Alike
+from filigree.session import materialize
 
 SALTS = 32
 
@@ -30,17 +33,27 @@ def requested(requests: DataFrame) -> DataFrame:
     return requests.where("dataset_id IS NOT NULL AND subset_size > 0").groupBy("dataset_id").agg(F.max("subset_size").cast("bigint").alias("k"))
 
 
+def refined(usable: DataFrame, requests: DataFrame, radius: float = 1.0) -> DataFrame:
+    """(dataset_id, id, c0, c1, c2, label) of the items of the requested data sets: the cell, and a label that two items
+    share iff alike pairs (at most radius apart in all features) connect them."""
+    alike = Alike(usable.join(requested(requests).select("dataset_id"), "dataset_id", "left_semi"), radius)
+    balls = alike.members.join(alike.labels().select("ball", "label"), "ball")
+    each = alike.spread(balls.select(F.col("id").alias("rep"), *CELL[1:], "label"))
+    return materialize(each.select(*CELL, "id", "label"))
+
+
 def round_robin(usable: DataFrame, requests: DataFrame, width: float = 1.0) -> DataFrame:
     """(dataset_id, id, place): the subset of each requested data set; place is 1..k.
 
     usable: (dataset_id, id, features) without repeated ids. A data set with no more than k items gives all of them;
-    one without items gives none.
+    one without items gives none. width is that of the cells and the distance up to which items are alike.
     """
-    asked = usable.join(requested(requests), "dataset_id")
-    cells = grid(asked, width).drop("features")
+    cells = refined(usable, requests, width).join(requested(requests), "dataset_id")
     shuffled = [F.xxhash64("dataset_id", "id", F.lit(1)), F.col("id")]
-    ranked = top(cells, CELL, shuffled, "k", "rank")
-    order = [F.col("rank"), F.xxhash64(*CELL, F.lit(2)), *(F.col(c) for c in CELL[1:]), F.col("id")]
+    turns = top(cells, [*CELL, "label"], shuffled, "k", "turn")
+    by_cell = [F.col("turn"), F.xxhash64(*CELL, F.lit(2)), *(F.col(c) for c in CELL[1:]), F.col("id")]
+    ranked = top(turns, ["dataset_id", "label"], by_cell, "k", "rank")
+    order = [F.col("rank"), F.xxhash64("dataset_id", "label", F.lit(3)), F.col("label"), F.col("id")]
     return top(ranked, ["dataset_id"], order, "k", "place").select("dataset_id", "id", "place")
 
 

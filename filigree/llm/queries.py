@@ -59,7 +59,7 @@ def p5_found(spark, d):
 
 
 def p5_subset(spark, d):
-    return cover.round_robin(materialize(_usable(spark, d)), read(spark, d, "subset_requests"))
+    return cover.round_robin(_usable(spark, d), read(spark, d, "subset_requests"))
 
 
 def _packed(spark, d):

@@ -160,6 +160,18 @@ def test_round_robin_below_the_number_of_cells_keeps_large_groups_and_lone_items
     assert len(picked) == 30 and len(large) >= 5 and sum(i >= 200 for i in picked) >= 10
 
 
+def test_round_robin_sees_features_outside_the_grid(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in rng.permutation(10) * 10.0 + 0.5:
+        rows += [[c, -c, 2 * c, 3.0 * (k + 1), 0] for k in range(3)]
+        rows += [[c, -c, 2 * c, 0, v] for v in rng.uniform(-0.2, 0.2, 20)]
+    df = frame(spark, {1: list(enumerate(rows))})
+    picked = [r["id"] for r in cover.round_robin(df, spark.createDataFrame([(1, 40)], "dataset_id bigint, subset_size int")).collect()]
+    assert len(picked) == 40 and sum(i % 23 < 3 for i in picked) == 30
+    assert {i // 23 for i in picked if i % 23 >= 3} == set(range(10))
+
+
 def test_flow_meets_targets_floors_and_shows_shortfalls():
     quota_, short = quota.solve({"a": 10, "b": 5, "c": 3}, {("a", "x"): 6, ("a", "y"): 20, ("b", "x"): 2, ("d", "x"): 9})
     drawn = {k: sum(n for (c, _), n in quota_.items() if c == k) for k in "abc"}
