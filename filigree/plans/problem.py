@@ -39,8 +39,8 @@ class MDE:
         return f"MDE of {self.n_items} items in {self.embedding_dim} dimensions, {self.p} edges, {self.kernel.name}, {self.constraint.name}"
 
     def _arrays(self):
-        e = self.edges.select("src", "dst", "weight").toPandas()  # at most LOCAL_EDGES rows
-        return e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["weight"].to_numpy(float)
+        e = self.edges.select("src", "dst", "weight").toArrow()  # at most LOCAL_EDGES rows; as columns, not Row objects
+        return e["src"].to_numpy().astype(np.int64), e["dst"].to_numpy().astype(np.int64), e["weight"].to_numpy().astype(float)
 
     def objective(self, local: bool | None = None):
         local = self.p <= LOCAL_EDGES if local is None else local

@@ -481,7 +481,7 @@ def preserve_neighbors(spark, d):
 
 @query()
 def preserve_distances(spark, d):
-    return recipes.preserve_distances(_items(spark, d), max_distances=200_000).embed()
+    return recipes.preserve_distances(_items(spark, d)).embed()
 
 
 @query()

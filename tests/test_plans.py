@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from filigree import queries
 from filigree.functions import kernels as K
 from filigree.operators import transform
 from filigree.operators.graph import Graph
@@ -133,6 +134,13 @@ def test_recipes(spark):
         recipes.preserve_neighbors(points(spark, [[1, 2]]))
 
 
+def test_registered_preserve_distances_takes_all_pairs(spark, tmp_path, monkeypatch):
+    rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(np.random.default_rng(0).normal(size=(700, 4)))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(MDE, "embed", lambda self: self)
+    assert queries.preserve_distances(spark, str(tmp_path)).p == 700 * 699 // 2
+
+
 def test_anchor_anchor_edges_are_gone(spark):
     q = recipes.preserve_neighbors(points(spark, np.random.default_rng(0).normal(size=(3, 2))), 1, constraint=C.Anchored([0, 1], [[0.0], [1.0]]))
     assert {(r["src"], r["dst"]) for r in q.edges.collect()} == {(0, 2), (1, 2)}
