@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,7 +55,8 @@ def pca(items: DataFrame, m: int) -> DataFrame:
 
 def smallest(times, degree: np.ndarray, count: int, seed: int = 0, max_iter: int = 400, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """The `count` smallest eigenpairs of a Laplacian given by its product: block conjugate directions (LOBPCG) with
-    the degrees as preconditioner; the constant vector is known and kept out."""
+    the degrees as preconditioner; the constant vector is known and kept out. If the residual is still above tol times
+    the largest degree after max_iter rounds, a RuntimeWarning gives it."""
     n = len(degree)
     rng = np.random.default_rng(seed)
     one = np.full((n, 1), n**-0.5)
@@ -61,12 +64,15 @@ def smallest(times, degree: np.ndarray, count: int, seed: int = 0, max_iter: int
     x = np.linalg.qr(clean(rng.standard_normal((n, min(n - 1, count + 4)))))[0]
     p = np.zeros((n, 0))
     scale = 1 / np.maximum(degree, 1e-12)[:, None]
-    values = np.zeros(x.shape[1])
-    for _ in range(max_iter):
+    bound = tol * max(1.0, degree.max())
+    for k in range(max_iter + 1):
         ax = times(x)
-        values = (x * ax).sum(axis=0)
-        r = ax - x * values
-        if np.linalg.norm(r[:, :count], axis=0).max() <= tol * max(1.0, degree.max()):
+        r = ax - x * (x * ax).sum(axis=0)
+        left = np.linalg.norm(r[:, :count], axis=0).max()
+        if left <= bound:
+            break
+        if k == max_iter:
+            warnings.warn(f"eigenvectors not converged: residual {left:.3g} above {bound:.3g} after {max_iter} rounds", RuntimeWarning, stacklevel=2)
             break
         basis = np.hstack([x, clean(scale * r), p])
         q, t = np.linalg.qr(basis)
@@ -108,6 +114,7 @@ def spectral_start(edges: DataFrame, n: int, m: int, seed: int = 0, local_edges:
 
     Edges beyond local_edges stay in Spark: a product with the Laplacian is then half the number of edges times the
     gradient of the quadratic penalty, which is one job over packed edges; only blocks of n rows come to the driver.
+    Both ways stop at the same residual or number of rounds.
     """
     from filigree.functions.kernels import quadratic
     from filigree.plans.solver import LOCAL_EDGES, SparkObjective
@@ -119,7 +126,7 @@ def spectral_start(edges: DataFrame, n: int, m: int, seed: int = 0, local_edges:
     degree = np.zeros(n)
     rows = Graph(edges, n).degrees().select("id", "strength").toPandas()
     degree[rows["id"].to_numpy(np.int64)] = rows["strength"].to_numpy()
-    x = smallest(lambda v: product(np.ascontiguousarray(v))[1] * product.p / 2, degree, m, seed, max_iter=60, tol=1e-5)[1]
+    x = smallest(lambda v: product(np.ascontiguousarray(v))[1] * product.p / 2, degree, m, seed)[1]
     return Standardized().project(x * np.sign(x[np.abs(x).argmax(axis=0), np.arange(m)]))
 
 

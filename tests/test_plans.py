@@ -1,3 +1,5 @@
+import warnings
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +108,28 @@ def test_spectral_with_edges_in_spark(spark):
     np.testing.assert_allclose(np.linalg.svd(a.T @ b / 40)[1], 1, atol=1e-3)
 
 
+def test_spectral_stops_alike_on_both_ways(spark, monkeypatch):
+    seen = []
+    whole = spectral.smallest
+    monkeypatch.setattr(spectral, "DENSE_ITEMS", 10)
+    monkeypatch.setattr(spectral, "smallest", lambda times, *a, **k: (seen.append((a[1:], k)), whole(times, *a, **k))[1])
+    ring = spark.createDataFrame([(i, (i + 1) % 50, 1.0 + i % 3) for i in range(50)], EDGE)
+    a, b = spectral.spectral_start(ring, 50, 2), spectral.spectral_start(ring, 50, 2, local_edges=0)
+    assert seen[0] == seen[1]
+    np.testing.assert_allclose(np.linalg.svd(a.T @ b / 50)[1], 1, atol=1e-6)
+
+
+def test_eigenvectors_that_have_not_converged_are_reported():
+    n = 300
+    degree = np.full(n, 2.0)
+    ring = lambda v: 2 * v - np.roll(v, 1, axis=0) - np.roll(v, -1, axis=0)
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        spectral.smallest(ring, degree, 2, max_iter=3)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        spectral.smallest(ring, degree, 2)
+
+
 def test_coinciding_starts(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], EDGE)
     assert recipes._coincide(e, np.array([[0.0, 1], [0, 1], [2, 2]])) and not recipes._coincide(e, np.array([[0.0, 1], [0, 2], [2, 2]]))
