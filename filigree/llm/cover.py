@@ -57,7 +57,9 @@ def round_robin(usable: DataFrame, requests: DataFrame, width: float = 1.0) -> D
     return top(ranked, ["dataset_id"], order, "k", "place").select("dataset_id", "id", "place")
 
 
-def only_by_themselves(alike: Alike, requests: DataFrame) -> DataFrame:
-    """(dataset_id, id) of the items of the requested data sets whose cell and touching cells hold no item alike to
-    them, by exact distance: a subset covers them only by choosing them."""
-    return alike.alone().join(requested(requests).select("dataset_id"), "dataset_id", "left_semi")
+def only_by_themselves(usable: DataFrame, requests: DataFrame, radius: float = 1.0) -> DataFrame:
+    """(dataset_id, id) of the items of the requested data sets that have a refined cell of the round-robin and its label
+    to themselves, hence are alike to no other item: a subset covers them only by choosing them."""
+    cells = refined(usable, requests, radius)
+    lone = cells.groupBy("dataset_id", "label").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return lone.select("dataset_id", "id")

@@ -55,7 +55,7 @@ def p3_neighbours(spark, d):
 
 
 def p5_found(spark, d):
-    return cover.only_by_themselves(groups.Alike(_usable(spark, d)), read(spark, d, "subset_requests")).select("id")
+    return cover.only_by_themselves(_usable(spark, d), read(spark, d, "subset_requests")).select("id")
 
 
 def p5_subset(spark, d):

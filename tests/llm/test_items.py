@@ -172,6 +172,16 @@ def test_round_robin_sees_features_outside_the_grid(spark):
     assert {i // 23 for i in picked if i % 23 >= 3} == set(range(10))
 
 
+def test_lone_items_come_from_the_cells_of_the_round_robin(spark, monkeypatch):
+    data, used = sets(hot=60), []
+    whole = cover.refined
+    monkeypatch.setattr(cover, "refined", lambda *a: (used.append(1), whole(*a))[1])
+    asks = spark.createDataFrame([(1, 60), (2, 30), (3, 0)], "dataset_id bigint, subset_size int")
+    lone = {r["id"] for r in cover.only_by_themselves(frame(spark, data), asks).collect()}
+    assert used and lone == {i for d in (1, 2) for i in brute(data[d])[1]}
+    assert lone <= {r["id"] for r in cover.round_robin(frame(spark, data), asks).collect()}
+
+
 def test_flow_meets_targets_floors_and_shows_shortfalls():
     quota_, short = quota.solve({"a": 10, "b": 5, "c": 3}, {("a", "x"): 6, ("a", "y"): 20, ("b", "x"): 2, ("d", "x"): 9})
     drawn = {k: sum(n for (c, _), n in quota_.items() if c == k) for k in "abc"}
