@@ -491,7 +491,7 @@ def laplacian_embedding(spark, d):
 
 @query()
 def draw_graph(spark, d):
-    return recipes.draw(_hops(spark, d)).embed(max_iter=100)
+    return recipes.draw(_hops(spark, d)).embed()
 
 
 @query()
@@ -504,7 +504,7 @@ def solve_stats(spark, d):
 @query()
 def embed_distributed(spark, d):
     problem = recipes.preserve_neighbors(_items(spark, d))
-    return problem.embed(max_iter=5, local=False)
+    return problem.embed(local=False)
 
 
 @query()
@@ -515,7 +515,7 @@ def embed_stochastic(spark, d):
 @query()
 def embed_by_tables(spark, d):
     e = materialize(_edges(spark, d))
-    return solver.descend(e, _points(spark, d), K.log1p(), 3)
+    return solver.descend(e, _points(spark, d), K.log1p())
 
 
 @query()

@@ -165,6 +165,20 @@ def test_registered_preserve_distances_takes_all_pairs(spark, tmp_path, monkeypa
     assert queries.preserve_distances(spark, str(tmp_path)).p == 700 * 699 // 2
 
 
+@pytest.mark.parametrize("name", ["embed_distributed", "draw_graph", "embed_by_tables"])
+def test_registered_solves_keep_the_default_stop(spark, monkeypatch, name):
+    class Problem:
+        def embed(self, X=None, eps=1e-5, max_iter=300, local=None):
+            return max_iter
+
+    for part in ("_items", "_hops", "_edges", "_points", "materialize"):
+        monkeypatch.setattr(queries, part, lambda *a: None)
+    for part in ("draw", "preserve_neighbors"):
+        monkeypatch.setattr(recipes, part, lambda *a: Problem())
+    monkeypatch.setattr(solver, "descend", lambda edges, points, kernel, steps=10: steps)
+    assert getattr(queries, name)(spark, "") == (10 if name == "embed_by_tables" else 300)
+
+
 def test_anchor_anchor_edges_are_gone(spark):
     q = recipes.preserve_neighbors(points(spark, np.random.default_rng(0).normal(size=(3, 2))), 1, constraint=C.Anchored([0, 1], [[0.0], [1.0]]))
     assert {(r["src"], r["dst"]) for r in q.edges.collect()} == {(0, 2), (1, 2)}
