@@ -20,8 +20,6 @@ from filigree.plans.problem import MDE
 from filigree.plans.spectral import spectral_start
 from filigree.session import materialize
 
-EXACT_ITEMS = 200_000
-
 
 def default_neighbours(n: int) -> int:
     return int(max(min(15, P.n_pairs(n) * 0.01 / n), 5))
@@ -34,13 +32,15 @@ def _anchor_filter(edges: DataFrame, constraint: Constraint) -> DataFrame:
     return P.without_anchored(edges, ids)
 
 
-def neighbour_graph(data: DataFrame | Graph, k: int, max_distance: float | None = None, probes: int | None = None) -> DataFrame:
-    """Edges weighted 1 or 2 of a data matrix (id 0..n-1, x) or graph; above EXACT_ITEMS rows by near lists."""
+def neighbour_graph(data: DataFrame | Graph, k: int, max_distance: float | None = None, probes: int | None = None, approximate: bool = False) -> DataFrame:
+    """Edges weighted 1 or 2 of a data matrix (id 0..n-1, x) or graph. Neighbours are exact at every size, unless
+    approximate (or probes) asks for near lists."""
     if isinstance(data, Graph):
         return graph_knn(data, k, max_distance)
-    n = data.count()
-    lists = min(4096, max(1, int(math.sqrt(n))))
-    near = N.knn(data, k) if n <= EXACT_ITEMS and probes is None else N.knn_approximate(data, k, lists, probes)
+    if approximate or probes is not None:
+        near = N.knn_approximate(data, k, min(4096, max(1, int(math.sqrt(data.count())))), probes)
+    else:
+        near = N.knn(data, k)
     return N.knn_edges(near, max_distance)
 
 
@@ -59,13 +59,14 @@ def _coincide(edges: DataFrame, start: np.ndarray) -> bool:
 def preserve_neighbors(
     data: DataFrame | Graph, embedding_dim: int = 2, attractive: K.Kernel | None = None, repulsive: K.Kernel | None | str = "default",
     constraint: Constraint | None = None, n_neighbors: int | None = None, repulsive_fraction: float | None = None,
-    max_distance: float | None = None, init: str = "quadratic", seed: int = 0,
+    max_distance: float | None = None, init: str = "quadratic", seed: int = 0, approximate: bool = False,
 ) -> MDE:
     """Neighbours pull, sampled non-neighbours push.
 
     data: items (id 0..n-1, x) or a Graph. Defaults: log1p pulls, log pushes (None: nothing pushes, and the constraint
     is Standardized), as many pushing pairs as edges (half as many if standardized), start "quadratic" (spectral) or
-    "random". A graph's neighbours lie within three times the upper quartile of its weights.
+    "random". A graph's neighbours lie within three times the upper quartile of its weights. approximate: an item
+    matrix' neighbours come from near lists (knn_approximate), with a loss.
     """
     attractive = attractive or K.log1p()
     repulsive = K.log() if repulsive == "default" else repulsive
@@ -80,7 +81,7 @@ def preserve_neighbors(
     constraint = constraint or (Centered() if repulsive is not None else Standardized())
     if graph and max_distance is None:
         max_distance = radius(data.edges).first()[0]
-    edges = materialize(_anchor_filter(neighbour_graph(data, k, max_distance), constraint))
+    edges = materialize(_anchor_filter(neighbour_graph(data, k, max_distance, approximate=approximate), constraint))
     rng = np.random.default_rng(seed)
     if init == "quadratic":
         start = spectral_start(edges, n, embedding_dim, seed)
@@ -121,9 +122,9 @@ def preserve_distances(data: DataFrame | Graph, embedding_dim: int = 2, loss: K.
     return MDE(n, embedding_dim, edges, loss, constraint)
 
 
-def laplacian_embedding(data: DataFrame | Graph, embedding_dim: int = 2, n_neighbors: int | None = None, max_distance: float | None = None, seed: int = 0) -> MDE:
+def laplacian_embedding(data: DataFrame | Graph, embedding_dim: int = 2, n_neighbors: int | None = None, max_distance: float | None = None, seed: int = 0, approximate: bool = False) -> MDE:
     """Quadratic pull only, standardized."""
-    return preserve_neighbors(data, embedding_dim, K.quadratic(), None, Standardized(), n_neighbors, None, max_distance, seed=seed)
+    return preserve_neighbors(data, embedding_dim, K.quadratic(), None, Standardized(), n_neighbors, None, max_distance, seed=seed, approximate=approximate)
 
 
 def draw(graph: Graph, embedding_dim: int = 2, standardized: bool = False, seed: int = 0) -> MDE:

@@ -179,6 +179,19 @@ def test_registered_solves_keep_the_default_stop(spark, monkeypatch, name):
     assert getattr(queries, name)(spark, "") == (10 if name == "embed_by_tables" else 300)
 
 
+@pytest.mark.parametrize("n", [100, 10**6])
+def test_neighbours_are_exact_unless_asked_otherwise(monkeypatch, n):
+    class Items:
+        def count(self):
+            return n
+
+    monkeypatch.setattr(recipes.N, "knn", lambda *a: "exact")
+    monkeypatch.setattr(recipes.N, "knn_approximate", lambda *a: "approximate")
+    monkeypatch.setattr(recipes.N, "knn_edges", lambda near, far: near)
+    assert recipes.neighbour_graph(Items(), 5) == "exact"
+    assert recipes.neighbour_graph(Items(), 5, approximate=True) == recipes.neighbour_graph(Items(), 5, probes=3) == "approximate"
+
+
 def test_anchor_anchor_edges_are_gone(spark):
     q = recipes.preserve_neighbors(points(spark, np.random.default_rng(0).normal(size=(3, 2))), 1, constraint=C.Anchored([0, 1], [[0.0], [1.0]]))
     assert {(r["src"], r["dst"]) for r in q.edges.collect()} == {(0, 2), (1, 2)}
