@@ -1,31 +1,48 @@
-"""A varied subset of given size: multi-attribute grid round-robin.
-
-Features are binned to cells (the grid of groups.py). As the grid sees three features only, each cell is refined by
-exact distance over all features: its records are told apart by the component of alike records they belong to. Ranks
-and places are SQL: records are ranked within the cell of their component by a hash, those of a component by that rank,
-then cell (by hash), and the subset is the first k of each data set by rank in the component, then component (by hash).
-So each component gives one record before any gives a second, and its further records come from all its cells in turn.
-Where k is below the number of components, their sizes have no say in which of them get a place.
+"""A varied subset of given size: multi-attribute grid round-robin, in SQL only.
+
+Binning. Every feature is binned (bins of four radii); the records of one combination of bins are a cell, and the one
+of smallest id stands for it. A record farther than a radius from its cell's stand-in is a cell of its own. A cluster
+that bin borders cut is still one place to cover, so cells whose stand-ins are alike are joined (minimum labels). To
+find those, cells are looked up in a coarser grid of a few features (grid.py): a stand-in meets those of its own and of
+touching coarse cells whose occupied box it can reach.
+
+Round-robin. Records are ranked within their cell, those of joined cells by that rank in turn, then all by rank and
+cell, and the first k are kept. So each joined cell gives one record before any gives a second, whatever its size. All
+orders are by md5, so the result depends on ids only.
+
+Which items are alone. An item that stands for a cell of its own, and whose cell was joined with no other, can only be
+alike to a member of a cell whose stand-in is nearly alike; it is compared with the members of those cells.
+
+Sizes. A cell with more than SPLIT records is cut in parts by a hash, each with a stand-in. Ranks beyond those that any
+place can have (they follow from the sizes of the cells) are dropped in salted parts before the ranking, and places are
+counted by ranges of the order, so no task sorts a data set.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.groups import CELL, Alike
-from filigree.session import materialize
+from filigree.llm.grid import AXES, CELL, COORDS, axes, distance, squared, touching, with_cells
+from filigree.operators.components import min_labels
+from filigree.session import materialize, release
 
-SALTS = 32
+SPLIT = 50_000
+WIDE = 4.0
+PREFIX = 12
 
 
-def top(rows: DataFrame, keys: list[str], order: list, limit: str, name: str) -> DataFrame:
-    """The first `limit` (a column) rows of each key by order, with their place as `name`; a hot key is first cut in
-    SALTS parts, so that no task sorts more than a part of it and then SALTS times limit rows."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS)))
-    part = salted.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col(name) <= F.col(limit))
-    whole = part.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return whole.where(F.col(name) <= F.col(limit)).drop("_salt")
+def top(rows: DataFrame, keys: list[str], order: list, limit: str, name: str, salts: Column | int = 32, most: int | None = None) -> DataFrame:
+    """The first `limit` (a column) rows of each key by order, with their place as `name`. A key is first cut in
+    `salts` parts, so that no task sorts more than a part of it and then the parts' first rows. most: a number that no
+    limit exceeds, if known, by which Spark can stop within a part."""
+    n = F.lit(salts) if isinstance(salts, int) else salts
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit(7)), n.cast("bigint")))
+    bound = lambda t: (t if most is None else t.where(F.col(name) <= most)).where(F.col(name) <= F.col(limit))
+    part = bound(salted.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))))
+    return bound(part.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))).drop("_salt")
 
 
 def requested(requests: DataFrame) -> DataFrame:
@@ -33,33 +50,116 @@ def requested(requests: DataFrame) -> DataFrame:
     return requests.where("dataset_id IS NOT NULL AND subset_size > 0").groupBy("dataset_id").agg(F.max("subset_size").cast("bigint").alias("k"))
 
 
-def refined(usable: DataFrame, requests: DataFrame, radius: float = 1.0) -> DataFrame:
-    """(dataset_id, id, c0, c1, c2, label) of the items of the requested data sets: the cell, and a label that two items
-    share iff alike pairs (at most radius apart in all features) connect them."""
-    alike = Alike(usable.join(requested(requests).select("dataset_id"), "dataset_id", "left_semi"), radius)
-    balls = alike.members.join(alike.labels().select("ball", "label"), "ball")
-    each = alike.spread(balls.select(F.col("id").alias("rep"), *CELL[1:], "label"))
-    return materialize(each.select(*CELL, "id", "label"))
+def _hash(*parts) -> Column:
+    return F.md5(F.concat_ws("-", *(p if isinstance(p, Column) else F.col(p) for p in parts)))
+
 
+class Cells:
+    """The cells of the requested data sets' items.
+
+    items: (cell of the coarse grid, part, id, far, settled, features), part being the id of the stand-in, far the
+    distance from it and settled whether that is at most the radius. stands: one row per stand-in, its own part
+    included, with mates (settled members) and reach (the farthest of them).
+    """
 
-def round_robin(usable: DataFrame, requests: DataFrame, width: float = 1.0) -> DataFrame:
+    def __init__(self, usable: DataFrame, requests: DataFrame, radius: float = 1.0, sample: DataFrame | None = None):
+        self.radius, width = radius, WIDE * radius
+        self.wanted = requested(requests)
+        asked = usable.join(self.wanted.select("dataset_id"), "dataset_id", "left_semi")
+        self.grid = materialize(axes(asked if sample is None else sample, width))
+        bins = F.xxhash64(F.transform("features", lambda v: F.floor(v / width)))
+        binned = materialize(with_cells(asked, self.grid, width).withColumn("bin", bins))
+        total = binned.count()
+        crowded = binned.groupBy("dataset_id", "bin").agg(F.ceil(F.count("*") / SPLIT).alias("parts")).where("parts > 1")
+        if total // SPLIT <= 200_000:  # no more crowded cells than that
+            crowded = F.broadcast(crowded)
+        each = binned.join(crowded, ["dataset_id", "bin"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)).cast("bigint")))
+        first = Window.partitionBy("dataset_id", "bin", "salt").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        each = each.withColumn("rep", F.first("id").over(first)).withColumn("rep_x", F.first("features").over(first))
+        each = each.withColumn("far", distance("features", "rep_x")).withColumn("settled", (F.col("id") != F.col("rep")) & (F.col("far") <= radius))
+        part = F.when(F.col("settled"), F.col("rep")).otherwise(F.col("id")).alias("part")
+        self.items = materialize(each.select(*CELL, "g", part, "id", "far", "settled", "features"))
+        release(binned)
+        mates = self.items.where("settled").groupBy("part").agg(F.count("*").alias("mates"), F.max("far").alias("reach"))
+        stands = self.items.where("NOT settled").drop("part", "far", "settled").join(mates, F.col("id") == F.col("part"), "left").drop("part")
+        stands = stands.withColumn("mates", F.coalesce("mates", F.lit(0))).withColumn("reach", F.coalesce("reach", F.lit(0.0)))
+        at = [F.get("features", F.get("axes", F.lit(k))).alias(f"p{k}") for k in range(AXES)]
+        self.stands = materialize(stands.join(self.grid.select("dataset_id", "axes"), "dataset_id").select(*stands.columns, *at))
+        self.links = materialize(self._met(self.stands, self.stands, F.lit(0.0)).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+
+    def _met(self, a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
+        """(a_id, a_features, b_id): stand-ins of a and b in the same or touching coarse cells that are at most the
+        radius plus `more` (an expression of b's b_reach) apart, more being at most the radius."""
+        edge = [F.min(f"p{k}").alias(f"lo{k}") for k in range(AXES)] + [F.max(f"p{k}").alias(f"hi{k}") for k in range(AXES)]
+        boxes = b.groupBy(*CELL).agg(*edge, F.max("reach").alias("reach"))
+        own = a.select(*CELL, "g").union(b.select(*CELL, "g")).distinct()
+        cells = own.join(boxes, CELL, "left")
+        names = [f"{s}{k}" for s in ("lo", "hi") for k in range(AXES)]
+        pairs = touching(cells, [*names, "reach"], half=False).where("b_reach IS NOT NULL")
+        pairs = pairs.select(*(F.col(f"a_{c}").alias(c) for c in CELL), *(f"b_{c}" for c in [*COORDS, *names, "reach"]))
+        gap = [F.coalesce(F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"p{k}"), F.col(f"p{k}") - F.col(f"b_hi{k}")), F.lit(0.0)) for k in range(AXES)]
+        limit = F.lit(self.radius) + more
+        near = a.join(pairs, CELL).where(reduce(lambda x, y: x + y, [v * v for v in gap]) <= limit * limit * (1 + 1e-9))
+        near = near.select("dataset_id", *(f"b_{c}" for c in COORDS), F.col("id").alias("a_id"), F.col("features").alias("a_features"))
+        there = b.select("dataset_id", *(F.col(c).alias(f"b_{c}") for c in COORDS), F.col("id").alias("b_id"), F.col("reach").alias("b_reach"), F.col("features").alias("b_features"))
+        both = near.join(there, ["dataset_id", *(f"b_{c}" for c in COORDS)]).where("a_id <> b_id")
+        close = both.where(squared("a_features", "b_features", PREFIX) <= limit * limit * (1 + 1e-9)).where(distance("a_features", "b_features") <= limit)
+        return close.select("a_id", "a_features", "b_id")
+
+    def alone(self) -> DataFrame:
+        """(dataset_id, id) of the items alike to no other item of their data set, copies included."""
+        linked = self.links.select(F.col("a").alias("id")).union(self.links.select("b"))
+        single = materialize(self.stands.where("mates = 0").join(linked, "id", "left_anti"))
+        others = self.stands.where("mates > 0")
+        maybe = materialize(self._met(single, others, F.col("b_reach")).select("a_id", "a_features", F.col("b_id").alias("part")))
+        members = self.items.where("settled").select("part", F.col("features").alias("b_features"))
+        hit = maybe.join(members, "part").where(distance("a_features", "b_features") <= self.radius).select(F.col("a_id").alias("id")).distinct()
+        return single.select("dataset_id", "id").join(hit, "id", "left_anti").select("dataset_id", "id")
+
+    def labelled(self) -> DataFrame:
+        """(dataset_id, label, part, id): equal labels iff the stand-ins of the parts are connected by alike pairs."""
+        label = min_labels(self.links).select(F.col("node").alias("part"), "label")
+        each = self.items.select("dataset_id", "part", "id").join(label, "part", "left")
+        return each.select("dataset_id", F.coalesce("label", "part").alias("label"), "part", "id")
+
+
+def round_robin(usable: DataFrame, requests: DataFrame, radius: float = 1.0, sample: DataFrame | None = None) -> DataFrame:
     """(dataset_id, id, place): the subset of each requested data set; place is 1..k.
 
     usable: (dataset_id, id, features) without repeated ids. A data set with no more than k items gives all of them;
-    one without items gives none. width is that of the cells and the distance up to which items are alike.
+    one without items gives none. sample: rows to choose the coarse grid by (grid.axes).
     """
-    cells = refined(usable, requests, width).join(requested(requests), "dataset_id")
-    shuffled = [F.xxhash64("dataset_id", "id", F.lit(1)), F.col("id")]
-    turns = top(cells, [*CELL, "label"], shuffled, "k", "turn")
-    by_cell = [F.col("turn"), F.xxhash64(*CELL, F.lit(2)), *(F.col(c) for c in CELL[1:]), F.col("id")]
-    ranked = top(turns, ["dataset_id", "label"], by_cell, "k", "rank")
-    order = [F.col("rank"), F.xxhash64("dataset_id", "label", F.lit(3)), F.col("label"), F.col("id")]
-    return top(ranked, ["dataset_id"], order, "k", "place").select("dataset_id", "id", "place")
-
-
-def only_by_themselves(usable: DataFrame, requests: DataFrame, radius: float = 1.0) -> DataFrame:
-    """(dataset_id, id) of the items of the requested data sets that have a refined cell of the round-robin and its label
-    to themselves, hence are alike to no other item: a subset covers them only by choosing them."""
-    cells = refined(usable, requests, radius)
-    lone = cells.groupBy("dataset_id", "label").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    return lone.select("dataset_id", "id")
+    cells = Cells(usable, requests, radius, sample)
+    items = materialize(cells.labelled())
+    sizes = items.groupBy("dataset_id", "label").agg(F.count("*").alias("n"))
+    # the last rank that gets a place: with h cells of n records or more, ranks up to n take the sum of min(size, n)
+    steps = sizes.groupBy("dataset_id", "n").agg(F.count("*").alias("h"))
+    upto = Window.partitionBy("dataset_id").orderBy("n")
+    after = Window.partitionBy("dataset_id").orderBy(F.col("n").desc())
+    steps = steps.withColumn("less", F.sum(F.col("n") * F.col("h")).over(upto) - F.col("n") * F.col("h")).withColumn("more", F.sum("h").over(after))
+    steps = steps.withColumn("full", F.col("less") + F.col("n") * F.col("more")).join(cells.wanted, "dataset_id")
+    enough = steps.where("full >= k").groupBy("dataset_id").agg(F.min(F.struct("n", "full", "more", "k")).alias("m"))
+    cut = enough.select("dataset_id", (F.col("m.n") - F.floor((F.col("m.full") - F.col("m.k")) / F.col("m.more"))).alias("deep"))
+    cut = cells.wanted.join(cut, "dataset_id", "left").select("dataset_id", "k", F.coalesce("deep", F.col("k")).cast("bigint").alias("deep"))
+    cut = materialize(cut)
+    most = cut.agg(F.max("deep")).first()[0] or 1
+    rows = items.join(cut, "dataset_id").join(sizes, ["dataset_id", "label"]).withColumn("_salts", F.ceil(F.col("n") / SPLIT))
+    mine = [_hash("dataset_id", "id"), F.col("id")]
+    turns = top(rows, ["dataset_id", "part"], mine, "deep", "turn", F.col("_salts"), most)
+    in_turn = [F.col("turn"), _hash(F.lit("part"), "part"), F.col("id")]
+    ranked = top(turns, ["dataset_id", "label"], in_turn, "deep", "rank", F.col("_salts"), most)
+    ranked = materialize(ranked.select("dataset_id", "id", "rank", "k", _hash(F.lit("label"), "dataset_id", "label").alias("h")))
+    # places by ranges of the order: the first two digits of the hash of the cell
+    slot = ["dataset_id", "rank", "slot"]
+    ranged = ranked.withColumn("slot", F.substring("h", 1, 2))
+    before = Window.partitionBy("dataset_id").orderBy("rank", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ranged.groupBy(*slot).agg(F.count("*").alias("_n")).select(*slot, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    inside = F.row_number().over(Window.partitionBy(*slot).orderBy("h", "id"))
+    placed = ranged.withColumn("_r", inside).join(offset, slot).withColumn("place", (F.col("_r") + F.col("_from")).cast("int"))
+    return placed.where("place <= k").select("dataset_id", "id", "place")
+
+
+def only_by_themselves(usable: DataFrame, requests: DataFrame, radius: float = 1.0, sample: DataFrame | None = None) -> DataFrame:
+    """(dataset_id, id) of the items of the requested data sets that are alike to no other item, hence have a cell of
+    the round-robin to themselves: a subset covers them only by choosing them."""
+    return Cells(usable, requests, radius, sample).alone()

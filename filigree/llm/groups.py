@@ -1,17 +1,20 @@
 """Groups of alike items: grid density clustering with exact checks.
 
-Method. Each data set's GRID_DIMS features of greatest variance are quantised to cells of the radius' width, and
-cells are counted (SQL). Alike items then lie in the same or in touching cells. Within a cell, items are drawn
-together into balls: sets within half a radius of their first member, hence alike to each other, so the pairs of a
-dense cell are never listed. Balls of joined touching cells are linked if their centres are alike, and where centres
-are farther apart but members may still be alike, the members are compared block by block. Minimum labels spread over
-the links until they settle.
-
-A cell in all 20 to 28 features would hold single items only, since noise crosses a cell border in some feature;
-hence the grid takes few features, and exact distances decide.
-
-Sizes. A hot cell is split into chunks of at most CHUNK items by a hash of the id; a task handles one bucket of
-chunks. Copies are merged (with map-side combining) before the grid. Nothing is collected but single numbers.
+Method. Features are quantised to the cells of a grid (grid.py) and the cells are counted. A cell is dense if it and the
+cells that touch it hold at least `least` items. As cells are (least - 1) radii wide, all members of a group of that
+size lie in dense cells: from any member, least - 1 others are reached by so many steps of at most a radius. Touching
+dense cells whose occupied boxes are within the radius are joined, and minimum labels spread over the links until no
+link can move. These steps are SQL.
+
+The exact check. Cells in all 20 to 28 features would hold single items only, so the grid takes few features and
+distances over all of them decide. Within a cell, the components of alike items are found at once and covered by balls
+of half a radius round some of the items. Between joined cells, components are linked if two ball centres are alike;
+components that this leaves apart, though their balls are so near that members may be alike, are compared member by
+member, unless labels already join them.
+
+Sizes. A crowded cell is split into chunks of about CHUNK items by a hash of the id, so that no task meets an unbounded
+cell; its chunks are linked as cells are. Only balls go through the join of cells: a group of copies is one ball per
+chunk. Nothing is collected but single numbers.
 """
 
 from __future__ import annotations
@@ -20,70 +23,113 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.llm.grid import AXES, CELL, COORDS, axes, touching, with_cells
 from filigree.operators.components import min_labels
-from filigree.session import materialize
+from filigree.session import materialize, release
 
-GRID_DIMS = 3
-CHUNK = 4096
-BLOCK = 2048
-CELL = ["dataset_id", "c0", "c1", "c2"]
+CHUNK = 2048
+BLOCK = 1024
+ROWS_PER_TASK = 8192
+MEMBER = ", ".join([*(f"{c} bigint" for c in CELL), "g int", "chunks int", "id bigint", "comp bigint", "ball bigint", "reach double", "off double", "features array<double>"])
 
 
-def grid(usable: DataFrame, width: float) -> DataFrame:
-    """usable plus cell coordinates c0, c1, c2: floor of the data set's three most varied features over width.
-
-    Ties in variance take the lower position; a data set with fewer features has 0 in place of those it lacks.
-    """
-    parts = usable.select("dataset_id", F.posexplode("features").alias("pos", "v"))
-    spread = parts.groupBy("dataset_id", "pos").agg(F.var_pop("v").alias("s"))
-    order = F.transform(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "pos"))), 1, GRID_DIMS), lambda x: x["pos"]
-    )
-    axes = spread.groupBy("dataset_id").agg(order.alias("axes"))
-    cells = [
-        F.coalesce(F.floor(F.get(F.col("features"), F.get(F.col("axes"), F.lit(k))) / width), F.lit(0)).cast("bigint").alias(f"c{k}")
-        for k in range(GRID_DIMS)
-    ]
-    return usable.join(axes, "dataset_id").select(*usable.columns, *cells)
-
-
-def _balls(rows: pd.DataFrame, half: float) -> pd.DataFrame:
-    """Balls of each chunk: the first item that no ball has (by id) opens one and takes all within half."""
-    rows = rows.sort_values(["dataset_id", "c0", "c1", "c2", "chunk", "id"], kind="stable", ignore_index=True)
-    key = rows[["dataset_id", "c0", "c1", "c2", "chunk"]].to_numpy()
-    cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-    ids, ball, dist = rows["id"].to_numpy(), np.empty(len(rows), np.int64), np.zeros(len(rows))
-    for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(rows)]):
-        x = np.stack(rows["features"].iloc[lo:hi].to_numpy())
-        left = np.arange(hi - lo)
-        while len(left):
-            d = np.sqrt(((x[left] - x[left[0]]) ** 2).sum(axis=1))
-            inside = d <= half
-            took = left[inside] + lo
-            ball[took], dist[took] = ids[lo + left[0]], d[inside]
-            left = left[~inside]
-    rows["ball"], rows["dist"] = ball, dist
-    return rows[["dataset_id", "c0", "c1", "c2", "id", "ball", "dist", "features"]]
-
-
-def _matrix(flat, n: int) -> np.ndarray:
-    return np.asarray(flat, dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by the product form, from a common origin, and a bound of their error."""
+    o = x[:1] if len(x) else y[:1]
+    x, y = x - o, y - o
+    a, b = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    d = a[:, None] + b[None, :]
+    d -= 2.0 * (x @ y.T)
+    return np.maximum(d, 0.0, out=d), 1e-13 * (1.0 + a.max(initial=0) + b.max(initial=0)) * (4 + x.shape[1])
 
 
-def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T), 0.0)
-
-
-def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Distances of the pairs by differences, free of the cancellation of the product form."""
-    out = np.empty(len(i))
+def _within(x: np.ndarray, y: np.ndarray, d2: np.ndarray, error: float, radius: float) -> np.ndarray:
+    """Which pairs are at most radius apart; pairs too close to call are computed by differences."""
+    near = d2 <= radius * radius
+    i, j = np.nonzero(np.abs(d2 - radius * radius) <= error)
     for at in range(0, len(i), 65536):
         s = slice(at, at + 65536)
-        out[s] = np.sqrt(((x[i[s]] - y[j[s]]) ** 2).sum(axis=1))
-    return out
+        near[i[s], j[s]] = np.sqrt(((x[i[s]] - y[j[s]]) ** 2).sum(axis=1)) <= radius
+    return near
+
+
+def _components(near: np.ndarray) -> np.ndarray:
+    """First position of each row's component of a symmetric relation that holds for each row itself."""
+    comp = np.arange(len(near))
+    open_ = near.sum(axis=1) > 1
+    for s in np.flatnonzero(open_):
+        if not open_[s]:
+            continue
+        open_[s] = False
+        front = np.array([s])
+        while len(front):
+            new = near[front].any(axis=0) & open_
+            open_[new] = False
+            front = np.flatnonzero(new)
+            comp[front] = s
+    return comp
+
+
+def _local(ids: np.ndarray, x: np.ndarray, radius: float):
+    """comp, ball (as ids), reach of the ball at its centre (else -1) and distance from the component's mean, for the
+    items of one chunk in order of id."""
+    d2, error = _squares(x, x)
+    comp = _components(_within(x, x, d2, error, radius))
+    ball, reach = np.arange(len(x)), np.zeros(len(x))
+    off = np.zeros(len(x))
+    inside = d2 <= radius * radius / 4
+    size = np.bincount(comp, minlength=len(x))
+    order = np.argsort(comp, kind="stable")
+    start = np.r_[0, np.cumsum(size)]
+    for c in np.flatnonzero(size > 1):
+        left = order[start[c] : start[c + 1]]
+        off[left] = np.sqrt(((x[left] - x[left].mean(axis=0)) ** 2).sum(axis=1))
+        while len(left):
+            lead = left[0]
+            mine = inside[lead, left]
+            mine[0] = True
+            took = left[mine]
+            ball[took], reach[took] = lead, -1.0
+            reach[lead] = np.sqrt(d2[lead, took].max() + error) if len(took) > 1 else 0.0
+            left = left[~mine]
+    return ids[comp], ids[ball], reach, off
+
+
+def _chunks(batches, radius: float):
+    """Rows sorted by cell, chunk and id to MEMBER rows. Runs of one row pass; longer ones go through _local."""
+    keys = [*CELL, "chunk"]
+    rest: pa.Table | None = None
+
+    def work(t: pa.Table, cuts: np.ndarray):
+        t = t.combine_chunks()
+        ids = t["id"].to_numpy()
+        comp, ball, reach, off = ids.copy(), ids.copy(), np.zeros(len(ids)), np.zeros(len(ids))
+        lists = t["features"].chunk(0) if t.num_rows else None
+        flat, at = (lists.values.to_numpy(), lists.offsets.to_numpy()) if lists is not None else (None, None)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi - lo > 1:
+                x = flat[at[lo] : at[hi]].reshape(hi - lo, -1)
+                comp[lo:hi], ball[lo:hi], reach[lo:hi], off[lo:hi] = _local(ids[lo:hi], x, radius)
+        out = t.select([*CELL, "g", "chunks", "id"]).append_column("comp", pa.array(comp)).append_column("ball", pa.array(ball))
+        return out.append_column("reach", pa.array(reach)).append_column("off", pa.array(off)).append_column("features", t["features"])
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None and rest.num_rows:
+            t = pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        key = np.column_stack([t[k].to_numpy() for k in keys])
+        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1]
+        rest = t.slice(int(cuts[-1]))
+        if len(cuts) > 1:
+            yield from work(t.slice(0, int(cuts[-1])), cuts).to_batches()
+    if rest is not None and rest.num_rows:
+        yield from work(rest, np.array([0, rest.num_rows])).to_batches()
 
 
 def _forest(pairs, size: int) -> list[int]:
@@ -106,39 +152,32 @@ def _forest(pairs, size: int) -> list[int]:
 
 
 def _link_tiles(batches, radius: float):
-    """Links and open pairs of the balls of two joined blocks.
-
-    kind 0: centres alike (only as many as a spanning forest needs). kind 1: centres not alike, but balls so near
-    that members may be; these stay open.
-    """
+    """Rows (a, b, a_ball, b_ball) of two joined blocks of balls: without balls, components linked by alike centres, as
+    many as a spanning forest needs; with balls, components that are not linked here, though members may be alike."""
     for t in batches:
         out = []
         for r in t.itertuples(index=False):
-            same = r.same
-            a, ra = np.asarray(r.a_ids), np.asarray(r.a_r)
-            b, rb = (a, ra) if same else (np.asarray(r.b_ids), np.asarray(r.b_r))
-            if same and len(a) == 1:
-                continue
-            x = _matrix(r.a_x, len(a))
-            y = x if same else _matrix(r.b_x, len(b))
-            d2 = _squares(x, y)
-            reach = (radius + ra[:, None] + rb[None, :]) ** 2
-            near = d2 <= reach * (1 + 1e-9) + 1e-9
-            if same:
-                near = np.triu(near, 1)
+            a, b, ca, cb, ra, rb = (np.asarray(v) for v in (r.a_ids, r.b_ids, r.a_comp, r.b_comp, r.a_r, r.b_r))
+            x, y = np.asarray(r.a_x, float).reshape(len(a), -1), np.asarray(r.b_x, float).reshape(len(b), -1)
+            d2, error = _squares(x, y)
+            near = d2 <= (radius + ra[:, None] + rb[None, :]) ** 2 + error
+            near &= ca[:, None] != cb[None, :]
             i, j = np.nonzero(near)
             if not len(i):
                 continue
-            d = _exact(x, y, i, j)
-            alike = d <= radius
-            li, lj = i[alike], j[alike]
-            shift = 0 if same else len(a)
-            keep = _forest(zip(li.tolist(), (lj + shift).tolist()), len(a) + (0 if same else len(b)))
-            out.append(np.column_stack([a[li[keep]], b[lj[keep]], np.zeros(len(keep), np.int64)]))
-            open_ = ~alike & (d <= radius + ra[i] + rb[j]) & (ra[i] + rb[j] > 0)
-            out.append(np.column_stack([a[i[open_]], b[j[open_]], np.ones(open_.sum(), np.int64)]))
-        got = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        yield pd.DataFrame({"a": got[:, 0], "b": got[:, 1], "kind": got[:, 2].astype(np.int32)})
+            alike = _within(x, y, d2, error, radius)[i, j]
+            names, at = np.unique(np.r_[ca[i], cb[j]], return_inverse=True)
+            p, q = at[: len(i)], at[len(i) :]
+            links = np.unique(np.column_stack([p[alike], q[alike]]), axis=0)
+            keep = links[_forest(links.tolist(), len(names))]
+            out.append(np.column_stack([names[keep], np.full((len(keep), 2), -1)]))
+            root = np.arange(len(names))
+            for u, v in keep.tolist():
+                root[root == root[v]] = root[u]
+            open_ = ~alike & (root[p] != root[q]) & (ra[i] + rb[j] > 0)
+            out.append(np.column_stack([ca[i[open_]], cb[j[open_]], a[i[open_]], b[j[open_]]]))
+        got = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        yield pd.DataFrame(got.astype(np.int64), columns=["a", "b", "a_ball", "b_ball"])
 
 
 def _member_tiles(batches, radius: float):
@@ -146,146 +185,141 @@ def _member_tiles(batches, radius: float):
     for t in batches:
         hit = []
         for r in t.itertuples(index=False):
-            x, y = _matrix(r.a_x, r.a_n), _matrix(r.b_x, r.b_n)
-            i, j = np.nonzero(_squares(x, y) <= radius**2 * (1 + 1e-9) + 1e-9)
-            hit.append(bool(len(i)) and bool((_exact(x, y, i, j) <= radius).any()))
+            x, y = np.asarray(r.a_x, float).reshape(r.a_n, -1), np.asarray(r.b_x, float).reshape(r.b_n, -1)
+            hit.append(bool(_within(x, y, *_squares(x, y), radius).any()))
         yield t.loc[hit, ["a", "b"]]
 
 
 class Alike:
-    """The alike relation of usable items, as balls and links between balls.
+    """The alike relation of usable items: components within chunks of cells, and links between them.
 
-    members: (dataset_id, rep, ball, ...) with one row per distinct vector; copies: rep per distinct vector of each item.
+    usable: (dataset_id, id, features) without repeated ids. sample: rows to choose the grid's features by, if others
+    than usable's are cheaper to read. members: one row per item with cell, comp (smallest id of its component in the
+    chunk), ball (id of its ball's centre) and off (distance from the component's mean).
     """
 
-    def __init__(self, usable: DataFrame, radius: float = 1.0):
-        self.radius = radius
-        self.items = materialize(usable)
-        vectors = self.items.groupBy("dataset_id", "features").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-        vectors = materialize(grid(vectors, radius))
-        self.vectors = vectors
-        count = vectors.groupBy(*CELL).agg(F.count("*").alias("n"))
-        crowded = count.where("n > 1")
-        total = vectors.count()
-        buckets = max(1, -(-total // 8192))
-        split = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).alias("chunk")
-        crowd = vectors.join(crowded, CELL).select(*CELL, "id", "features", split)
-        crowd = crowd.withColumn("bucket", F.pmod(F.hash(*CELL, "chunk"), F.lit(buckets)))
-        half = radius / 2
-        schema = "dataset_id bigint, c0 bigint, c1 bigint, c2 bigint, id bigint, ball bigint, dist double, features array<double>"
-        inside = crowd.groupBy("bucket").applyInPandas(lambda p: _balls(p, half), schema)
-        single = vectors.join(count.where("n = 1").select(*CELL), CELL).select(
-            *CELL, "id", F.col("id").alias("ball"), F.lit(0.0).alias("dist"), "features"
-        )
-        self.members = materialize(inside.unionByName(single))
-        self.links, self.open = self._link()
+    def __init__(self, usable: DataFrame, radius: float = 1.0, least: int = 5, sample: DataFrame | None = None):
+        self.radius, self.least = radius, least
+        width = radius * (least - 1)
+        grid = materialize(axes(usable if sample is None else sample, width))
+        items = materialize(with_cells(usable, grid, width))
+        self.counts = items.groupBy(*CELL).agg(F.count("*").alias("n"))
+        total = items.count()
+        crowded = self.counts.where(F.col("n") > CHUNK).select(*CELL, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        if total // CHUNK <= 200_000:  # no more crowded cells than that
+            crowded = F.broadcast(crowded)
+        each = items.join(crowded, CELL, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        each = each.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("bigint")))
+        parts = max(8, min(4096, -(-total // ROWS_PER_TASK)))
+        ordered = each.repartition(parts, *CELL, "chunk").sortWithinPartitions(*CELL, "chunk", "id")
+        ordered = ordered.select(*CELL, "g", "chunks", "chunk", "id", "features")
+        self.members = materialize(ordered.mapInArrow(lambda t: _chunks(t, radius), MEMBER))
+        release(items)
+        self.counts = self.members.groupBy(*CELL, "g").agg(F.count("*").alias("n"))
+        self.grid = grid
+
+    def cell_pairs(self) -> DataFrame:
+        """(a_*, b_*): pairs of touching dense cells whose boxes are within the radius, each once, and each dense cell
+        of several chunks with itself."""
+        at = lambda k: F.get("features", F.get("axes", F.lit(k)))
+        centres = self.members.where("id = ball").join(self.grid.select("dataset_id", "axes"), "dataset_id")
+        low = [F.min(at(k) - F.col("reach")).alias(f"lo{k}") for k in range(AXES)]
+        high = [F.max(at(k) + F.col("reach")).alias(f"hi{k}") for k in range(AXES)]
+        boxes = centres.groupBy(*CELL).agg(*low, *high, F.count("*").alias("balls"), F.max("chunks").alias("chunks"))
+        cells = materialize(boxes.join(self.counts, CELL))
+        box = [f"{s}{k}" for s in ("lo", "hi") for k in range(AXES)]
+        both = materialize(touching(cells, ["n", *box]))
+        part = lambda p: both.select(*(F.col(f"{p}_{c}").alias(c) for c in CELL), F.col(f"{'b' if p == 'a' else 'a'}_n").alias("n"))
+        around = cells.select(*CELL, "n").unionByName(part("a")).unionByName(part("b")).groupBy(*CELL).agg(F.sum("n").alias("n"))
+        dense = materialize(around.where(F.col("n") >= self.least).select(*CELL))
+        gap = [F.coalesce(F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}")), F.lit(0.0)) for k in range(AXES)]
+        near = both.where(reduce(lambda p, q: p + q, [v * v for v in gap]) <= self.radius**2 * (1 + 1e-9))
+        for p in "ab":
+            near = near.join(dense.select(*(F.col(c).alias(f"{p}_{c}") for c in CELL)), [f"{p}_{c}" for c in CELL], "left_semi")
+        names = [*(f"a_{c}" for c in CELL), *(f"b_{c}" for c in CELL)]
+        own = cells.where("chunks > 1").join(dense, CELL, "left_semi").select(*(F.col(c).alias(f"{p}_{c}") for p in "ab" for c in CELL))
+        return near.select(*names).unionByName(own.select(*names))
 
     def _link(self) -> tuple[DataFrame, DataFrame]:
-        m, radius = self.members, self.radius
-        size = m.groupBy("ball").agg(F.max("dist").alias("r"))
-        centres = m.where("id = ball").select(*CELL, "ball", "features").join(size, "ball")
-        many = centres.groupBy(*CELL).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        blocks = centres.join(many, CELL).withColumn("block", F.pmod(F.xxhash64("ball"), F.col("blocks"))).groupBy(*CELL, "block")
-        packed = F.collect_list(F.struct("ball", "r", "features"))
-        blocks = blocks.agg(packed.alias("p")).select(
-            *CELL,
-            "block",
-            F.col("p.ball").alias("ids"),
-            F.col("p.r").alias("r"),
-            F.flatten("p.features").alias("x"),
+        radius = self.radius
+        pairs = materialize(self.cell_pairs())
+        cells = pairs.select(*(F.col(f"a_{c}").alias(c) for c in CELL)).union(pairs.select(*(f"b_{c}" for c in CELL))).distinct()
+        centres = self.members.where("id = ball").join(cells, CELL, "left_semi")
+        many = centres.groupBy(*CELL).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+        blocks = centres.join(many, CELL, "left").withColumn("block", F.pmod(F.xxhash64("ball"), F.coalesce("blocks", F.lit(1))))
+        packed = F.collect_list(F.struct("ball", "comp", "reach", "features"))
+        blocks = blocks.groupBy(*CELL, "block").agg(packed.alias("p")).select(
+            *CELL, "block", F.col("p.ball").alias("ids"), F.col("p.comp").alias("comp"), F.col("p.reach").alias("r"), F.flatten("p.features").alias("x")
         )
         blocks = materialize(blocks)
-        ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
-        step = F.explode(F.array(*(F.struct(*(F.lit(v).cast("bigint").alias(f"s{n}") for n, v in enumerate(o))) for o in ahead)))
-        keys = blocks.select(*CELL, "block")
-        a = keys.select(*(F.col(c).alias(f"a_{c}") for c in [*CELL, "block"]), step.alias("s"))
-        a = a.select("*", *((F.col(f"a_c{k}") + F.col(f"s.s{k}")).alias(f"t{k}") for k in range(3)))
-        b = keys.select(*(F.col(c).alias(f"b_{c}") for c in [*CELL, "block"]))
-        here = reduce(lambda p, q: p & q, [F.col(f"s.s{k}") == 0 for k in range(3)])
-        pairs = a.join(b, [a.a_dataset_id == b.b_dataset_id, *(F.col(f"t{k}") == F.col(f"b_c{k}") for k in range(3))])
-        pairs = pairs.where(~here | (F.col("a_block") <= F.col("b_block")))
-        pairs = pairs.withColumn("same", here & (F.col("a_block") == F.col("b_block"))).drop("s", "t0", "t1", "t2")
         side = lambda p: blocks.select(*(F.col(c).alias(f"{p}_{c}") for c in blocks.columns))
-        tiles = pairs.join(side("a"), [f"a_{c}" for c in [*CELL, "block"]])
-        tiles = tiles.where("NOT same OR size(a_ids) > 1").join(side("b"), [f"b_{c}" for c in [*CELL, "block"]])
-        tiles = tiles.select("same", "a_ids", "a_r", "a_x", "b_ids", "b_r", "b_x")
-        found = materialize(tiles.mapInPandas(lambda t: _link_tiles(t, radius), "a bigint, b bigint, kind int"))
-        return found.where("kind = 0").select("a", "b"), found.where("kind = 1").select("a", "b")
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs of balls (a, b) of which a member of one is alike to a member of the other."""
-        want = pairs.select(F.col("a").alias("ball")).union(pairs.select(F.col("b").alias("ball"))).distinct()
-        m = self.members.join(want, "ball").select("ball", "id", "features")
-        parts = m.groupBy("ball").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        blocks = m.join(parts, "ball").groupBy("ball", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-        blocks = materialize(blocks.agg(F.count("*").cast("int").alias("n"), F.flatten(F.collect_list("features")).alias("x")))
-        side = lambda p: blocks.select(F.col("ball").alias(p), F.col("n").alias(f"{p}_n"), F.col("x").alias(f"{p}_x"))
+        tiles = pairs.join(side("a"), [f"a_{c}" for c in CELL]).join(side("b"), [f"b_{c}" for c in CELL])
+        self_pair = reduce(lambda p, q: p & q, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in CELL])
+        tiles = tiles.where(~self_pair | (F.col("a_block") <= F.col("b_block")))
+        tiles = tiles.select(*(f"{p}_{c}" for p in "ab" for c in ("ids", "comp", "r", "x")))
+        found = materialize(tiles.mapInPandas(lambda t: _link_tiles(t, radius), "a bigint, b bigint, a_ball bigint, b_ball bigint"))
+        return found.where("a_ball < 0").select("a", "b"), found.where("a_ball >= 0")
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs of balls of which a member of one is alike to a member of the other."""
+        want = pairs.select(F.col("a_ball").alias("ball")).union(pairs.select("b_ball")).distinct()
+        m = self.members.join(want, "ball", "left_semi").select("ball", "id", "features")
+        blocks = materialize(m.groupBy("ball").agg(F.count("*").cast("int").alias("n"), F.flatten(F.collect_list("features")).alias("x")))
+        side = lambda p: blocks.select(F.col("ball").alias(f"{p}_ball"), F.col("n").alias(f"{p}_n"), F.col("x").alias(f"{p}_x"))
         radius = self.radius
-        tiles = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_x", "b_n", "b_x")
+        tiles = pairs.join(side("a"), "a_ball").join(side("b"), "b_ball").select("a", "b", "a_n", "a_x", "b_n", "b_x")
         return tiles.mapInPandas(lambda t: _member_tiles(t, radius), "a bigint, b bigint").distinct()
 
     def labels(self) -> DataFrame:
-        """(ball, label): equal labels iff the balls' items are connected by alike pairs."""
-        first = materialize(min_labels(self.links))
-        left = F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")
+        """(comp, label) of the components that are linked: the smallest id of all that alike pairs connect."""
+        links, open_ = self._link()
+        first = materialize(min_labels(links))
         a = first.select(F.col("node").alias("a"), F.col("label").alias("la"))
         b = first.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        still = self.open.join(a, "a", "left").join(b, "b", "left").where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b")))
-        again = self.near(materialize(still.select("a", "b").distinct()))
-        joined = again.join(a, "a", "left").join(b, "b", "left").select(*left)
-        second = min_labels(joined)
-        balls = self.members.where("id = ball").select("dataset_id", "ball")
-        one = balls.join(first.withColumnRenamed("node", "ball"), "ball", "left").withColumn("label", F.coalesce("label", "ball"))
-        two = second.select(F.col("node").alias("label"), F.col("label").alias("last"))
-        return one.join(two, "label", "left").select("dataset_id", "ball", F.coalesce("last", "label").alias("label"))
-
-    def spread(self, per_vector: DataFrame) -> DataFrame:
-        """Rows of distinct vectors (rep, ...) given to every item with that vector: adds id."""
-        rep = self.vectors.select("dataset_id", "features", F.col("id").alias("rep"))
-        return self.items.join(rep, ["dataset_id", "features"]).drop("features").join(per_vector, "rep")
-
-    def alone(self) -> DataFrame:
-        """(dataset_id, id) of the items alike to no other item of their data set, copies included."""
-        linked = self.links.select(F.col("a").alias("ball")).union(self.links.select("b"))
-        lone = self.members.groupBy("ball").agg(F.count("*").alias("n")).where("n = 1").select("ball").join(linked, "ball", "left_anti")
-        lone = materialize(lone)
-        asked = self.open.join(lone.withColumnRenamed("ball", "a"), "a", "left_semi").union(
-            self.open.join(lone.withColumnRenamed("ball", "b"), "b", "left_semi").select("a", "b")
-        )
-        hit = materialize(self.near(materialize(asked.distinct())))
-        hit = hit.select(F.col("a").alias("ball")).union(hit.select("b"))
-        once = self.vectors.where("copies = 1").select("dataset_id", "id")
-        return once.join(lone.join(hit, "ball", "left_anti").withColumnRenamed("ball", "id"), "id", "left_semi").select("dataset_id", "id")
-
-
-def groups(alike: Alike, least: int = 5) -> DataFrame:
-    """(dataset_id, group_id, id, ball) for each member of a group of at least `least` items.
-
-    Items that repeat a vector are each a member. An empty input gives an empty result.
+        la, lb = F.coalesce("la", "a"), F.coalesce("lb", "b")
+        still = open_.join(a, "a", "left").join(b, "b", "left").where(la != lb).select(la.alias("a"), lb.alias("b"), "a_ball", "b_ball")
+        still = materialize(still.distinct())
+        if not still.limit(1).count():
+            return first.select(F.col("node").alias("comp"), "label")
+        second = materialize(min_labels(self._near(still)))
+        both = first.join(second.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left")
+        one = both.select(F.col("node").alias("comp"), F.coalesce("last", "label").alias("label"))
+        new = second.join(first, "node", "left_anti").select(F.col("node").alias("comp"), "label")
+        return one.unionByName(new)
+
+
+def groups(alike: Alike) -> DataFrame:
+    """(dataset_id, group_id, id, cell coordinates, off) for each member of a group of at least alike.least items.
+
+    Items that repeat a vector are each a member. An empty input gives an empty result. Sizes are summed over
+    components, of which a chunk of a hot cell is one row.
     """
-    ball = alike.members.select(F.col("id").alias("rep"), "ball")
-    each = alike.spread(ball).join(alike.labels().select("ball", "label"), "ball")
-    each = materialize(each.select("dataset_id", "label", "id", "ball"))
-    size = each.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("group_id")).where(F.col("n") >= least)
-    return each.join(size, "label").select("dataset_id", "group_id", "id", "ball")
+    comps = alike.members.groupBy("comp").agg(F.count("*").alias("n"))
+    named = materialize(comps.join(alike.labels(), "comp", "left").select("comp", "n", F.coalesce("label", "comp").alias("group_id")))
+    size = named.groupBy("group_id").agg(F.sum("n").alias("size")).where(F.col("size") >= alike.least)
+    of = named.join(size, "group_id", "left_semi").select("comp", "group_id")
+    return alike.members.join(of, "comp").select("dataset_id", "group_id", "id", *COORDS, "off")
 
 
 def describe(members: DataFrame, attributes: DataFrame, typical: int = 3) -> DataFrame:
     """One row per group: size, its most typical members and their categories.
 
-    Typical are the first ids of the group's most crowded ball. attributes: standing (id, attr_name, category) rows;
-    categories are listed as "name=value", sorted, without the absent ones.
+    Typical are the members of the group's densest cell (of equals that of the lowest coordinates) that are nearest to
+    the mean of the group's part there; equals by id. attributes: standing (id, attr_name, category) rows; categories
+    are listed as "name=value", sorted, without the absent ones.
     """
-    balls = members.groupBy("dataset_id", "group_id", "ball").agg(F.count("*").alias("n"))
-    best = balls.groupBy("dataset_id", "group_id").agg(F.sum("n").alias("size"), F.max(F.struct("n", (-F.col("ball")).alias("neg"))).alias("m"))
-    best = best.select("dataset_id", "group_id", "size", (-F.col("m.neg")).alias("ball"))
-    inner = members.join(best.select("group_id", "ball"), ["group_id", "ball"])
-    salt = F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")
-    part = Window.partitionBy("group_id", "salt").orderBy("id")
-    few = inner.select("group_id", "id", salt).withColumn("k", F.row_number().over(part)).where(F.col("k") <= typical)
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("group_id").orderBy("id"))).where(F.col("k") <= typical)
-    first = few.groupBy("group_id").agg(F.array_sort(F.collect_list("id")).alias("typical_ids"))
-    kinds = first.select("group_id", F.explode("typical_ids").alias("id")).join(attributes, "id").where("category <> ''")
+    cell = F.struct(*(F.col(c).alias(c) for c in COORDS))
+    cells = members.groupBy("dataset_id", "group_id", *COORDS).agg(F.count("*").alias("n"))
+    best = cells.groupBy("dataset_id", "group_id").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), cell.alias("cell"))).alias("m"))
+    best = best.select("dataset_id", "group_id", "size", *(F.col(f"m.cell.{c}").alias(c) for c in COORDS))
+    inner = members.join(best.select("group_id", *COORDS), ["group_id", *COORDS])
+    salted = inner.select("group_id", "id", "off", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    order = ["off", "id"]
+    few = salted.withColumn("k", F.row_number().over(Window.partitionBy("group_id", "salt").orderBy(*order))).where(F.col("k") <= typical)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).where(F.col("k") <= typical)
+    few = materialize(few.select("group_id", "id", "k"))
+    first = few.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("typical_ids"))
+    kinds = few.join(attributes, "id").where("category <> ''")
     kinds = kinds.groupBy("group_id").agg(F.array_sort(F.collect_set(F.concat_ws("=", "attr_name", "category"))).alias("categories"))
     out = best.join(first, "group_id").join(kinds, "group_id", "left")
     return out.select("dataset_id", "group_id", "size", "typical_ids", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"))

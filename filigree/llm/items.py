@@ -26,15 +26,17 @@ def is_clean(features: Column, length: Column) -> Column:
     return features.isNotNull() & (F.size(features) == length) & (F.size(features) > 0) & ~bad & F.exists(features, lambda v: v != 0)
 
 
-def usable_items(items: DataFrame, datasets: DataFrame) -> DataFrame:
-    """(dataset_id, id, features) of the standing rows that have a known data set and no fault.
+def clean_rows(rows: DataFrame, datasets: DataFrame) -> DataFrame:
+    """rows of items that have a known data set and no fault. Data sets whose n_features is null have none; datasets
+    may repeat rows."""
+    sizes = datasets.where("dataset_id IS NOT NULL AND n_features IS NOT NULL").groupBy("dataset_id").agg(F.max("n_features").alias("_k"))
+    return rows.join(sizes, "dataset_id").where(is_clean(F.col("features"), F.col("_k"))).select(*rows.columns)
+
 
-    Data sets whose n_features is null have no usable item. datasets may repeat rows.
-    """
+def usable_items(items: DataFrame, datasets: DataFrame) -> DataFrame:
+    """(dataset_id, id, features) of the standing rows that are clean."""
     last = standing(items.select("id", "dataset_id", "features", "loaded_at"), ["id"])
-    sizes = datasets.where("dataset_id IS NOT NULL AND n_features IS NOT NULL").groupBy("dataset_id").agg(F.max("n_features").alias("n_features"))
-    clean = last.join(sizes, "dataset_id").where(is_clean(F.col("features"), F.col("n_features")))
-    return clean.select("dataset_id", "id", "features")
+    return clean_rows(last.select("dataset_id", "id", "features"), datasets)
 
 
 def category(value: Column) -> Column:

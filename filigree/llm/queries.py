@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm import cover, groups, leak, nearest, pack, pii, quota
-from filigree.llm.items import category, standing, usable_items
+from filigree.llm.items import category, clean_rows, standing, usable_items
 from filigree.session import materialize, read
 
 
@@ -14,14 +14,23 @@ def _usable(spark: SparkSession, d: str) -> DataFrame:
     return usable_items(read(spark, d, "items"), read(spark, d, "datasets"))
 
 
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """Clean rows, older ones as well: enough to choose a grid's features by, and without the shuffle of _usable."""
+    return clean_rows(read(spark, d, "items"), read(spark, d, "datasets")).select("dataset_id", "features")
+
+
+def _alike(spark, d):
+    return groups.Alike(_usable(spark, d), sample=_rows(spark, d))
+
+
 def p1_found(spark, d):
-    return groups.groups(groups.Alike(_usable(spark, d))).select("group_id", "id")
+    return groups.groups(_alike(spark, d)).select("group_id", "id")
 
 
 def p1_groups(spark, d):
     last = standing(read(spark, d, "item_attributes").select("id", "attr_name", "attr_value", "loaded_at"), ["id", "attr_name"])
     kinds = last.select("id", "attr_name", F.coalesce(category(F.col("attr_value")), F.lit("")).alias("category"))
-    return groups.describe(materialize(groups.groups(groups.Alike(_usable(spark, d)))), kinds)
+    return groups.describe(materialize(groups.groups(_alike(spark, d))), kinds)
 
 
 def _quotas(spark, d):
@@ -55,11 +64,11 @@ def p3_neighbours(spark, d):
 
 
 def p5_found(spark, d):
-    return cover.only_by_themselves(_usable(spark, d), read(spark, d, "subset_requests")).select("id")
+    return cover.only_by_themselves(_usable(spark, d), read(spark, d, "subset_requests"), sample=_rows(spark, d)).select("id")
 
 
 def p5_subset(spark, d):
-    return cover.round_robin(_usable(spark, d), read(spark, d, "subset_requests"))
+    return cover.round_robin(_usable(spark, d), read(spark, d, "subset_requests"), sample=_rows(spark, d))
 
 
 def _packed(spark, d):
