@@ -20,12 +20,10 @@ counted by ranges of the order, so no task sorts a data set.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.grid import AXES, CELL, COORDS, axes, distance, squared, touching, with_cells
+from filigree.llm.grid import AXES, CELL, COORDS, axes, distance, gap, named, squared, touching, with_cells
 from filigree.operators.components import min_labels
 from filigree.session import materialize, release
 
@@ -83,27 +81,25 @@ class Cells:
         mates = self.items.where("settled").groupBy("part").agg(F.count("*").alias("mates"), F.max("far").alias("reach"))
         stands = self.items.where("NOT settled").drop("part", "far", "settled").join(mates, F.col("id") == F.col("part"), "left").drop("part")
         stands = stands.withColumn("mates", F.coalesce("mates", F.lit(0))).withColumn("reach", F.coalesce("reach", F.lit(0.0)))
-        at = [F.get("features", F.get("axes", F.lit(k))).alias(f"p{k}") for k in range(AXES)]
-        self.stands = materialize(stands.join(self.grid.select("dataset_id", "axes"), "dataset_id").select(*stands.columns, *at))
-        self.links = materialize(self._met(self.stands, self.stands, F.lit(0.0)).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+        at = [f"get(features, get(axes, {k})) AS p{k}" for k in range(AXES)]
+        self.stands = materialize(stands.join(self.grid.select("dataset_id", "axes"), "dataset_id").selectExpr(*stands.columns, *at))
+        self.links = materialize(self._met(self.stands, self.stands, "0D").where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
-    def _met(self, a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
+    def _met(self, a: DataFrame, b: DataFrame, more: str) -> DataFrame:
         """(a_id, a_features, b_id): stand-ins of a and b in the same or touching coarse cells that are at most the
-        radius plus `more` (an expression of b's b_reach) apart, more being at most the radius."""
-        edge = [F.min(f"p{k}").alias(f"lo{k}") for k in range(AXES)] + [F.max(f"p{k}").alias(f"hi{k}") for k in range(AXES)]
-        boxes = b.groupBy(*CELL).agg(*edge, F.max("reach").alias("reach"))
+        radius plus `more` (SQL over b's b_reach) apart, more being at most the radius."""
+        edges = [f"{s}{k}" for s in ("lo", "hi") for k in range(AXES)]
+        box = F.expr(f"struct({', '.join(f'min(p{k}) AS lo{k}, max(p{k}) AS hi{k}' for k in range(AXES))}, max(reach) AS reach)").alias("box")
         own = a.select(*CELL, "g").union(b.select(*CELL, "g")).distinct()
-        cells = own.join(boxes, CELL, "left")
-        names = [f"{s}{k}" for s in ("lo", "hi") for k in range(AXES)]
-        pairs = touching(cells, [*names, "reach"], half=False).where("b_reach IS NOT NULL")
-        pairs = pairs.select(*(F.col(f"a_{c}").alias(c) for c in CELL), *(f"b_{c}" for c in [*COORDS, *names, "reach"]))
-        gap = [F.coalesce(F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"p{k}"), F.col(f"p{k}") - F.col(f"b_hi{k}")), F.lit(0.0)) for k in range(AXES)]
-        limit = F.lit(self.radius) + more
-        near = a.join(pairs, CELL).where(reduce(lambda x, y: x + y, [v * v for v in gap]) <= limit * limit * (1 + 1e-9))
-        near = near.select("dataset_id", *(f"b_{c}" for c in COORDS), F.col("id").alias("a_id"), F.col("features").alias("a_features"))
-        there = b.select("dataset_id", *(F.col(c).alias(f"b_{c}") for c in COORDS), F.col("id").alias("b_id"), F.col("reach").alias("b_reach"), F.col("features").alias("b_features"))
+        cells = own.join(b.groupBy(*CELL).agg(box), CELL, "left").select(*own.columns, "box.*")
+        pairs = touching(cells, [*edges, "reach"], half=False).where("b_reach IS NOT NULL")
+        pairs = pairs.selectExpr(*(f"a_{c} AS {c}" for c in CELL), *(f"b_{c}" for c in [*COORDS, *edges, "reach"]))
+        limit = f"pow({self.radius}D + {more}, 2) * {1 + 1e-9}D"
+        near = a.join(pairs, CELL).where(f"{gap('p{k}', 'p{k}', 'b_lo{k}', 'b_hi{k}')} <= {limit}")
+        near = near.selectExpr("dataset_id", *(f"b_{c}" for c in COORDS), "id AS a_id", "features AS a_features")
+        there = b.selectExpr("dataset_id", *named("b", [*COORDS, "id", "reach", "features"]))
         both = near.join(there, ["dataset_id", *(f"b_{c}" for c in COORDS)]).where("a_id <> b_id")
-        close = both.where(squared("a_features", "b_features", PREFIX) <= limit * limit * (1 + 1e-9)).where(distance("a_features", "b_features") <= limit)
+        close = both.where(squared("a_features", "b_features", PREFIX) <= F.expr(limit)).where(distance("a_features", "b_features") <= F.expr(f"{self.radius}D + {more}"))
         return close.select("a_id", "a_features", "b_id")
 
     def alone(self) -> DataFrame:
@@ -111,7 +107,7 @@ class Cells:
         linked = self.links.select(F.col("a").alias("id")).union(self.links.select("b"))
         single = materialize(self.stands.where("mates = 0").join(linked, "id", "left_anti"))
         others = self.stands.where("mates > 0")
-        maybe = materialize(self._met(single, others, F.col("b_reach")).select("a_id", "a_features", F.col("b_id").alias("part")))
+        maybe = materialize(self._met(single, others, "b_reach").select("a_id", "a_features", F.col("b_id").alias("part")))
         members = self.items.where("settled").select("part", F.col("features").alias("b_features"))
         hit = maybe.join(members, "part").where(distance("a_features", "b_features") <= self.radius).select(F.col("a_id").alias("id")).distinct()
         return single.select("dataset_id", "id").join(hit, "id", "left_anti").select("dataset_id", "id")

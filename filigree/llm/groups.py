@@ -19,15 +19,13 @@ chunk. Nothing is collected but single numbers.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.grid import AXES, CELL, COORDS, axes, touching, with_cells
+from filigree.llm.grid import AXES, CELL, COORDS, axes, gap, named, touching, with_cells
 from filigree.operators.components import min_labels
 from filigree.session import materialize, release
 
@@ -221,29 +219,25 @@ class Alike:
     def cell_pairs(self) -> DataFrame:
         """(a_*, b_*): pairs of touching dense cells whose boxes are within the radius, each once, and each dense cell
         of several chunks with itself."""
-        at = lambda k: F.get("features", F.get("axes", F.lit(k)))
+        bound = lambda f, s, p: F.expr(f"struct({', '.join(f'{f}(get(features, get(axes, {k})) {s} reach) AS {p}{k}' for k in range(AXES))})").alias(p)
         centres = self.members.where("id = ball").join(self.grid.select("dataset_id", "axes"), "dataset_id")
-        low = [F.min(at(k) - F.col("reach")).alias(f"lo{k}") for k in range(AXES)]
-        high = [F.max(at(k) + F.col("reach")).alias(f"hi{k}") for k in range(AXES)]
-        boxes = centres.groupBy(*CELL).agg(*low, *high, F.count("*").alias("balls"), F.max("chunks").alias("chunks"))
-        cells = materialize(boxes.join(self.counts, CELL))
-        box = [f"{s}{k}" for s in ("lo", "hi") for k in range(AXES)]
-        both = materialize(touching(cells, ["n", *box]))
-        part = lambda p: both.select(*(F.col(f"{p}_{c}").alias(c) for c in CELL), F.col(f"{'b' if p == 'a' else 'a'}_n").alias("n"))
-        around = cells.select(*CELL, "n").unionByName(part("a")).unionByName(part("b")).groupBy(*CELL).agg(F.sum("n").alias("n"))
+        boxes = centres.groupBy(*CELL).agg(bound("min", "-", "lo"), bound("max", "+", "hi"), F.max("chunks").alias("chunks"))
+        cells = materialize(boxes.join(self.counts, CELL).select(*CELL, "g", "n", "chunks", "lo.*", "hi.*"))
+        both = materialize(touching(cells, ["n", *(f"{s}{k}" for s in ("lo", "hi") for k in range(AXES))]))
+        part = lambda p, q: both.selectExpr(*(f"{p}_{c} AS {c}" for c in CELL), f"{q}_n AS n")
+        around = cells.select(*CELL, "n").unionByName(part("a", "b")).unionByName(part("b", "a")).groupBy(*CELL).agg(F.sum("n").alias("n"))
         dense = materialize(around.where(F.col("n") >= self.least).select(*CELL))
-        gap = [F.coalesce(F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}")), F.lit(0.0)) for k in range(AXES)]
-        near = both.where(reduce(lambda p, q: p + q, [v * v for v in gap]) <= self.radius**2 * (1 + 1e-9))
+        near = both.where(f"{gap('a_lo{k}', 'a_hi{k}', 'b_lo{k}', 'b_hi{k}')} <= {self.radius**2 * (1 + 1e-9)}D")
         for p in "ab":
-            near = near.join(dense.select(*(F.col(c).alias(f"{p}_{c}") for c in CELL)), [f"{p}_{c}" for c in CELL], "left_semi")
-        names = [*(f"a_{c}" for c in CELL), *(f"b_{c}" for c in CELL)]
-        own = cells.where("chunks > 1").join(dense, CELL, "left_semi").select(*(F.col(c).alias(f"{p}_{c}") for p in "ab" for c in CELL))
-        return near.select(*names).unionByName(own.select(*names))
+            near = near.join(dense.selectExpr(*named(p, CELL)), [f"{p}_{c}" for c in CELL], "left_semi")
+        names = [f"{p}_{c}" for p in "ab" for c in CELL]
+        own = cells.where("chunks > 1").join(dense, CELL, "left_semi").selectExpr(*named("a", CELL), *named("b", CELL))
+        return near.select(*names).unionByName(own)
 
     def _link(self) -> tuple[DataFrame, DataFrame]:
         radius = self.radius
         pairs = materialize(self.cell_pairs())
-        cells = pairs.select(*(F.col(f"a_{c}").alias(c) for c in CELL)).union(pairs.select(*(f"b_{c}" for c in CELL))).distinct()
+        cells = pairs.selectExpr(*(f"a_{c} AS {c}" for c in CELL)).union(pairs.select(*(f"b_{c}" for c in CELL))).distinct()
         centres = self.members.where("id = ball").join(cells, CELL, "left_semi")
         many = centres.groupBy(*CELL).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
         blocks = centres.join(many, CELL, "left").withColumn("block", F.pmod(F.xxhash64("ball"), F.coalesce("blocks", F.lit(1))))
@@ -252,10 +246,9 @@ class Alike:
             *CELL, "block", F.col("p.ball").alias("ids"), F.col("p.comp").alias("comp"), F.col("p.reach").alias("r"), F.flatten("p.features").alias("x")
         )
         blocks = materialize(blocks)
-        side = lambda p: blocks.select(*(F.col(c).alias(f"{p}_{c}") for c in blocks.columns))
+        side = lambda p: blocks.selectExpr(*named(p, blocks.columns))
         tiles = pairs.join(side("a"), [f"a_{c}" for c in CELL]).join(side("b"), [f"b_{c}" for c in CELL])
-        self_pair = reduce(lambda p, q: p & q, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in CELL])
-        tiles = tiles.where(~self_pair | (F.col("a_block") <= F.col("b_block")))
+        tiles = tiles.where(f"NOT ({' AND '.join(f'a_{c} = b_{c}' for c in CELL)}) OR a_block <= b_block")
         tiles = tiles.select(*(f"{p}_{c}" for p in "ab" for c in ("ids", "comp", "r", "x")))
         found = materialize(tiles.mapInPandas(lambda t: _link_tiles(t, radius), "a bigint, b bigint, a_ball bigint, b_ball bigint"))
         return found.where("a_ball < 0").select("a", "b"), found.where("a_ball >= 0")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.llm import cover, groups, nearest, quota
+from filigree.llm import cover, grid, groups, nearest, quota
 from filigree.llm.items import category, standing, usable_items
 
 ITEM = "dataset_id bigint, id bigint, features array<double>"
@@ -45,21 +45,20 @@ def brute(rows, radius=1.0):
     return dict(zip(ids, label.tolist())), [i for k, i in enumerate(ids) if near[k].sum() == 1]
 
 
-@pytest.mark.parametrize("chunk,block", [(4096, 2048), (37, 3)])
-def test_groups_equal_brute_force(spark, monkeypatch, chunk, block):
+@pytest.mark.parametrize("chunk,block,load", [(2048, 1024, 512), (37, 3, 2)])
+def test_groups_equal_brute_force(spark, monkeypatch, chunk, block, load):
     monkeypatch.setattr(groups, "CHUNK", chunk)
+    monkeypatch.setattr(grid, "LOAD", load)
     monkeypatch.setattr(groups, "BLOCK", block)
     data = sets()
     alike = groups.Alike(frame(spark, data))
     got = {r["id"]: r["group_id"] for r in groups.groups(alike).collect()}
-    want, lone = {}, []
+    want = {}
     for rows in data.values():
-        label, alone = brute(rows)
-        lone += alone
+        label, _ = brute(rows)
         sizes = {v: list(label.values()).count(v) for v in label.values()}
         want |= {i: v for i, v in label.items() if sizes[v] >= 5}
     assert got == want
-    assert sorted(r["id"] for r in alike.alone().collect()) == sorted(lone)
 
 
 def test_member_check_links_balls_whose_centres_are_not_alike(spark):
@@ -73,20 +72,48 @@ def test_distance_of_exactly_one_is_alike(spark):
     assert {r["group_id"] for r in groups.groups(groups.Alike(frame(spark, {1: rows}))).collect()} == {0}
 
 
+def test_dense_test_keeps_a_chain_of_single_item_cells(spark):
+    rows = [(i, [3.9 * (i % 2), 0.95 * i, 0.0]) for i in range(0, 9)] + [(20 + i, [50.0, 0.99 * i, 1.0]) for i in range(5)] + [(40 + i, [90.0, 0.99 * i, 1.0]) for i in range(4)]
+    got = groups.groups(groups.Alike(frame(spark, {1: rows}))).collect()
+    assert sorted((r["group_id"], r["id"]) for r in got) == [(20, 20 + i) for i in range(5)]
+
+
 def test_describe(spark):
-    members = spark.createDataFrame([(1, 0, i, 0 if i < 4 else 4) for i in range(6)], "dataset_id bigint, group_id bigint, id bigint, ball bigint")
-    attrs = spark.createDataFrame([(0, "c", "fern"), (1, "c", "fern"), (2, "o", ""), (9, "c", "x")], "id bigint, attr_name string, category string")
+    cells = [(1, 0, i, 0 if i < 4 else 1, *[0] * 5, [0.3, 0.1, 0.2, 0.1, 0.0, 0.0][i]) for i in range(6)]
+    members = spark.createDataFrame(cells, "dataset_id bigint, group_id bigint, id bigint, " + ", ".join(f"{c} bigint" for c in grid.COORDS) + ", off double")
+    attrs = spark.createDataFrame([(1, "c", "fern"), (3, "c", "fern"), (2, "o", ""), (9, "c", "x"), (4, "c", "moss")], "id bigint, attr_name string, category string")
     r = groups.describe(members, attrs).collect()
-    assert [tuple(x) for x in r] == [(1, 0, 6, [0, 1, 2], ["c=fern"])]
+    assert [tuple(x) for x in r] == [(1, 0, 6, [1, 3, 2], ["c=fern"])]
+
+
+def test_typical_members_are_nearest_to_the_mean_of_the_densest_cell(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.1, (60, 6)) + 2
+    members = groups.groups(groups.Alike(frame(spark, {1: [(i, v) for i, v in enumerate(x)]})))
+    none = spark.createDataFrame([], "id bigint, attr_name string, category string")
+    r = groups.describe(members, none).first()
+    far = np.sqrt(((x - x.mean(axis=0)) ** 2).sum(1))
+    assert r["size"] == 60 and r["typical_ids"] == np.argsort(far)[:3].tolist() and r["categories"] == []
+
+
+@pytest.mark.parametrize("split", [50_000, 20])
+def test_lone_items_equal_brute_force(spark, monkeypatch, split):
+    monkeypatch.setattr(cover, "SPLIT", split)
+    data = sets()
+    # an item near a member of a cell, but not near its stand-in
+    data[2] += [(9000, [50.0, 0, 0, 0, 0]), (9001, [50.9, 0, 0, 0, 0]), (9002, [51.7, 0, 0, 0, 0]), (9003, [60.0, 0, 0, 0, 0]), (9004, [60.0, 0, 0, 1.0, 0]), (9005, [70.0, 0, 0, 1.001, 0])]
+    asks = spark.createDataFrame([(1, 60), (2, 10)], "dataset_id bigint, subset_size int")
+    got = cover.only_by_themselves(frame(spark, data), asks)
+    assert sorted(r["id"] for r in got.collect()) == sorted(i for d in (1, 2) for i in brute(data[d])[1])
 
 
 def test_empty_tables(spark):
     none = frame(spark, {})
     alike = groups.Alike(none)
-    assert groups.groups(alike).count() == 0 and alike.alone().count() == 0
+    assert groups.groups(alike).count() == 0
     assert nearest.nearest(none).count() == 0
     asks = spark.createDataFrame([(1, 3)], "dataset_id bigint, subset_size int")
-    assert cover.round_robin(none, asks).count() == 0 and cover.round_robin(frame(spark, sets()), asks.limit(0)).count() == 0
+    assert cover.only_by_themselves(none, asks).count() == 0 and cover.round_robin(none, asks).count() == 0 and cover.round_robin(frame(spark, sets()), asks.limit(0)).count() == 0
 
 
 def test_usable_items(spark):
@@ -172,16 +199,6 @@ def test_round_robin_sees_features_outside_the_grid(spark):
     assert {i // 23 for i in picked if i % 23 >= 3} == set(range(10))
 
 
-def test_lone_items_come_from_the_cells_of_the_round_robin(spark, monkeypatch):
-    data, used = sets(hot=60), []
-    whole = cover.refined
-    monkeypatch.setattr(cover, "refined", lambda *a: (used.append(1), whole(*a))[1])
-    asks = spark.createDataFrame([(1, 60), (2, 30), (3, 0)], "dataset_id bigint, subset_size int")
-    lone = {r["id"] for r in cover.only_by_themselves(frame(spark, data), asks).collect()}
-    assert used and lone == {i for d in (1, 2) for i in brute(data[d])[1]}
-    assert lone <= {r["id"] for r in cover.round_robin(frame(spark, data), asks).collect()}
-
-
 def test_flow_meets_targets_floors_and_shows_shortfalls():
     quota_, short = quota.solve({"a": 10, "b": 5, "c": 3}, {("a", "x"): 6, ("a", "y"): 20, ("b", "x"): 2, ("d", "x"): 9})
     drawn = {k: sum(n for (c, _), n in quota_.items() if c == k) for k in "abc"}
