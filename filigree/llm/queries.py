@@ -96,7 +96,7 @@ def p7_matches(spark, d):
 
 
 def p7_clean(spark, d):
-    return leak.clean(read(spark, d, "documents").select("doc_id", "repo", "file_path"), _leaks(spark, d))
+    return leak.clean(read(spark, d, "documents").select("doc_id", "repo", "file_path", "text"), _leaks(spark, d))
 
 
 def p8_found(spark, d):
@@ -123,6 +123,12 @@ usable AS (SELECT i.id, i.dataset_id, i.features FROM last i
 """
 _DIST = "sqrt(list_sum(list_transform(list_zip(a.features, b.features), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
 _CATEGORY = "lower(regexp_replace(trim({}, ' \t\n\r'), '[ \t_-]+', ' ', 'g'))"
+_WORDS = """
+WITH doc AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+test AS (SELECT eval_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+d AS (SELECT id, k, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM doc WHERE len(w) >= 12)),
+e AS (SELECT id, k, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM test WHERE len(w) >= 12))
+"""
 
 SQL = {
     # Forty rounds of labels: more than any chain of the small tables needs.
@@ -150,10 +156,12 @@ SELECT src, dst, round(d, 6) AS distance, rank FROM (
     "p5_found": _USABLE
     + f"""SELECT a.id FROM usable a WHERE a.dataset_id IN (SELECT dataset_id FROM subset_requests WHERE subset_size > 0)
   AND NOT EXISTS (SELECT 1 FROM usable b WHERE b.dataset_id = a.dataset_id AND b.id <> a.id AND {_DIST} <= 1.0)""",
-    "p7_found": """
-WITH RECURSIVE doc AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
-test AS (SELECT eval_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
-d AS (SELECT id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM doc WHERE len(w) >= 12)),
-e AS (SELECT id, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM test WHERE len(w) >= 12))
-SELECT DISTINCT d.id AS doc_id, e.id AS eval_id FROM d JOIN e USING (s)""",
+    "p7_found": _WORDS + "SELECT DISTINCT d.id AS doc_id, e.id AS eval_id FROM d JOIN e USING (s)",
+    "p7_matches": _WORDS
+    + """, hit AS (SELECT d.id AS doc_id, e.id AS eval_id, d.k AS p, e.k AS q FROM d JOIN e USING (s)),
+run AS (SELECT doc_id, eval_id, p, q, p - row_number() OVER (PARTITION BY doc_id, eval_id, p - q ORDER BY p) AS g FROM hit),
+match AS (SELECT doc_id, eval_id, count(*) + 11 AS n, min(p) - 1 AS dw, min(q) - 1 AS ew FROM run GROUP BY doc_id, eval_id, p - q, g)
+SELECT doc_id, eval_id, CAST(n AS INTEGER) AS n_words, CAST(dw AS INTEGER) AS doc_word, CAST(ew AS INTEGER) AS eval_word FROM match
+QUALIFY row_number() OVER (PARTITION BY doc_id, eval_id ORDER BY n DESC, dw, ew) = 1""",
+    "p7_clean": _WORDS + "SELECT doc_id, repo, file_path, text FROM documents WHERE doc_id NOT IN (SELECT d.id FROM d JOIN e USING (s))",
 }

@@ -157,6 +157,27 @@ def test_leak_edges(spark):
     assert [r["doc_word"] for r in leak.leaks(docs(spark, [long]), ev.where("eval_id = 1")).collect()] == [300_000]
 
 
+def test_suffix_array_is_in_order():
+    rng = np.random.default_rng(1)
+    ids = np.r_[rng.integers(0, 3, 300), np.full(200, 2), 0, np.tile([1, 2], 60), 0, np.tile([1, 2], 60), 0]
+    w = leak.Words(ids, 4, 2)
+    tail = lambda p: ids[p : p + np.flatnonzero(ids[p:] == 0)[0]].tolist()
+    tails = [tail(p) for p in w.array]
+    assert tails == sorted(tails) and len(set(w.array.tolist())) == len(w.array)
+    runs = [m.span() for m in re.finditer("[12]{4,}", "".join(map(str, ids)))]
+    assert sorted(w.array.tolist()) == [p for a, b in runs for p in range(a, b)]
+
+
+def test_a_line_in_many_tests_and_documents(spark, monkeypatch):
+    monkeypatch.setattr(leak, "AT_ONCE", 50)
+    line = " ".join(f"licence{i}" for i in range(20))
+    texts = [f"before{i} {line} after{i} {line}" for i in range(60)] + ["a " * 3000]
+    tests = [(i, f"x{i} {line} y{i}") for i in range(40)] + [(100, "a " * 30), (101, "a " * 30)]
+    got = leak.leaks(docs(spark, texts), spark.createDataFrame(tests, "eval_id bigint, text string")).collect()
+    want = [(d, e, 20, 1, 1) for d in range(60) for e in range(40)] + [(60, 100, 30, 0, 0), (60, 101, 30, 0, 0)]
+    assert sorted(map(tuple, got)) == want
+
+
 # ---- personal details
 
 FOUND = [
