@@ -148,7 +148,9 @@ class TestIndex:
         # ranges of the two arrays with the same first n words
         at = _rank(corpus.keys[corpus.first], tests.keys[tests.first])
         heads = corpus.keys[corpus.first]
-        hit = np.flatnonzero((at < len(heads)) & (heads[np.minimum(at, len(heads) - 1)] == tests.keys[tests.first]).all(axis=1))
+        mine = tests.keys[tests.first]
+        whole = (mine[:, -1] & ((1 << self.bits) - 1)) > 0  # else a suffix of fewer than n words
+        hit = np.flatnonzero(whole & (at < len(heads)) & (heads[np.minimum(at, len(heads) - 1)] == mine).all(axis=1))
         c_end, t_end = np.r_[corpus.first[1:], len(corpus.array)], np.r_[tests.first[1:], len(tests.array)]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
