@@ -48,7 +48,16 @@ def p2_sample(spark, d):
 
 
 def p2_report(spark, d):
-    return _quotas(spark, d)[0].where("other IS NULL").select("request_id", "category", "want", "available", "quota", "shortfall")
+    return _quotas(spark, d)[0].where("other IS NULL").select("request_id", "category", "want", "goal", "available", "quota", "shortfall", "deviation")
+
+
+def p2_sample_sizes(spark, d):
+    """The sample of p2_sample by category: rows, and those that do not hold the category they were drawn for."""
+    report, want, held = _quotas(spark, d)
+    drawn = quota.draw(report, want, held).join(want.select("request_id", "category", "dataset_id", "attr_name", "kind"), ["request_id", "category"])
+    true = held.select("id", "dataset_id", "attr_name", "kind", F.lit(True).alias("true"))
+    each = drawn.join(true, ["id", "dataset_id", "attr_name", "kind"], "left").groupBy("request_id", "category")
+    return each.agg(F.countDistinct("id").alias("n"), F.count_if(F.col("true").isNull()).alias("strangers"))
 
 
 def p3_found(spark, d):
@@ -109,7 +118,7 @@ def p8_redacted(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_report, p2_sample, p3_found, p3_neighbours, p5_found, p5_subset, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_redacted)
+    for f in (p1_found, p1_groups, p2_found, p2_report, p2_sample, p2_sample_sizes, p3_found, p3_neighbours, p5_found, p5_subset, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_redacted)
 }
 
 _USABLE = """
@@ -129,6 +138,18 @@ test AS (SELECT eval_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w
 d AS (SELECT id, k, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM doc WHERE len(w) >= 12)),
 e AS (SELECT id, k, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM test WHERE len(w) >= 12))
 """
+_HELD = f"""
+WITH item AS (SELECT id, dataset_id FROM (SELECT id, dataset_id, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM items) WHERE rn = 1),
+attr AS (SELECT id, attr_name, {_CATEGORY.format("attr_value")} AS kind FROM (
+    SELECT *, row_number() OVER (PARTITION BY id, attr_name ORDER BY loaded_at DESC NULLS LAST) AS rn FROM item_attributes) WHERE rn = 1),
+held AS (SELECT dataset_id, attr_name, kind, count(*) AS n FROM item JOIN attr USING (id) GROUP BY ALL),
+ask AS (SELECT t.request_id, t.category, coalesce(t.min_rows, 0) AS floor, CAST(round(t.target_share * t.sample_size) AS BIGINT) AS target,
+    CAST(greatest(coalesce(t.min_rows, 0), round(t.target_share * t.sample_size)) AS BIGINT) AS want, coalesce(h.n, 0) AS have, {_CATEGORY.format("t.category")} AS kind
+  FROM sample_targets t LEFT JOIN held h ON t.dataset_id = h.dataset_id AND t.attr_name = h.attr_name AND h.kind = {_CATEGORY.format("t.category")}),
+room AS (SELECT *, greatest(target - floor, 0) AS room, sum(greatest(target - floor, 0)) OVER r AS rooms, sum(greatest(floor - target, 0)) OVER r AS over FROM ask WINDOW r AS (PARTITION BY request_id)),
+part AS (SELECT *, CASE WHEN over > rooms THEN room WHEN rooms = 0 THEN 0 ELSE over * room // rooms END AS base, CASE WHEN over > rooms OR rooms = 0 THEN 0 ELSE over * room % rooms END AS rest FROM room),
+goals AS (SELECT *, CAST(want - base - CASE WHEN over <= rooms AND row_number() OVER (PARTITION BY request_id ORDER BY rest DESC, kind) <= over - sum(base) OVER (PARTITION BY request_id) THEN 1 ELSE 0 END AS BIGINT) AS goal FROM part)
+"""
 
 SQL = {
     # Forty rounds of labels: more than any chain of the small tables needs.
@@ -137,14 +158,11 @@ SQL = {
 label AS (SELECT 0 AS k, id, id AS l FROM usable UNION ALL SELECT k + 1, e.a, min(l) FROM label JOIN alike e ON label.id = e.b WHERE k < 40 GROUP BY k, e.a),
 done AS (SELECT id, l FROM label WHERE k = 40)
 SELECT l AS group_id, id FROM done WHERE l IN (SELECT l FROM done GROUP BY l HAVING count(*) >= 5)""",
-    "p2_found": f"""
-WITH item AS (SELECT id, dataset_id FROM (SELECT id, dataset_id, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM items) WHERE rn = 1),
-attr AS (SELECT id, attr_name, {_CATEGORY.format("attr_value")} AS kind FROM (
-    SELECT *, row_number() OVER (PARTITION BY id, attr_name ORDER BY loaded_at DESC NULLS LAST) AS rn FROM item_attributes) WHERE rn = 1),
-have AS (SELECT dataset_id, attr_name, kind, count(*) AS n FROM item JOIN attr USING (id) GROUP BY ALL)
-SELECT t.request_id, t.category FROM sample_targets t LEFT JOIN have h
-  ON t.dataset_id = h.dataset_id AND t.attr_name = h.attr_name AND h.kind = {_CATEGORY.format("t.category")}
-WHERE coalesce(h.n, 0) < greatest(t.min_rows, round(t.target_share * t.sample_size))""",
+    "p2_found": _HELD + "SELECT request_id, category FROM ask WHERE have < want",
+    "p2_report": _HELD
+    + """SELECT request_id, category, want, goal, have AS available, least(goal, have) AS quota, greatest(want - have, 0) AS shortfall, least(goal, have) - target AS deviation FROM goals""",
+    # how many are drawn of each category, and that they all are of it
+    "p2_sample_sizes": _HELD + "SELECT request_id, category, least(goal, have) AS n, 0 AS strangers FROM goals WHERE least(goal, have) > 0",
     "p3_found": _USABLE
     + f""", near AS (SELECT a.id AS p, b.id AS q, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS r
   FROM usable a JOIN usable b ON a.dataset_id = b.dataset_id AND a.id <> b.id WHERE a.id IN (SELECT id FROM probe_items))

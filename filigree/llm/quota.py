@@ -1,13 +1,17 @@
 """Samples whose categories match target shares: integer quotas by min-cost flow, then random draws.
 
-Per request, a flow goes from a source to each category (arc: the greater of target and floor), on to each class of
-the other attributes (arc: how many items of the data set have both), and to a sink (arc: that class's share of the
-request, so that the sample keeps the make-up of what is available). Beyond its share a class's unit costs 1; a
-category's slack arc to the sink costs more than any other way and shows its shortfall. As costs take only these
-values, the cheapest flow comes from three maximum flows on end, each in the residual network of the one before.
-
-The flow sees counts only: as many as a data set has pairs of categories. Items are counted with map-side combining,
-and the draw ranks each cell's items by a hash, in salted parts (cover.top).
+Per request, sample_size units leave the source. A category's arc takes its goal: its target, where all targets are at
+or above the categories' floors. Where floors are above targets, they come first, and what they take beyond is given up
+by the other categories in proportion to their room above their own floors (goals), so the sample keeps its size; only
+floors that together exceed sample_size make it larger. From a category, units go on to each class of the other
+attributes (arc: how many items of the data set have both) and from there to the sink (arc: that class's share of the
+request, so that the sample keeps the make-up of what is available; a unit beyond it costs 1). What a category wants but
+does not hold, its slack arc to the sink takes at a higher cost than any other way: its shortfall. As costs take only
+these values, the cheapest flow comes from maximum flows on end, each in the residual network of the one before.
+
+The flow sees counts only, at most CLASSES classes for each category: the commonest, and one for all others. Items are
+counted with map-side combining, requests are solved in PARTS tasks, and the draw ranks each cell's items by a hash, in
+salted parts (cover.top).
 """
 
 from __future__ import annotations
@@ -16,13 +20,16 @@ import random
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.cover import top
+from filigree.llm.cover import SPLIT, top
 from filigree.llm.items import category, standing
 
 OPEN = 1 << 60
+CLASSES = 256
+PARTS = 64
+REST = "*"
 
 
 class _Flow:
@@ -92,8 +99,21 @@ def _margins(total: int, sizes: list[int]) -> list[int]:
     return base
 
 
-def solve(want: dict[str, int], have: dict[tuple[str, str], int], seed: int = 0) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
-    """Quota of each cell (category, other class), and each category's shortfall."""
+def goals(target: dict[str, int], floor: dict[str, int]) -> dict[str, int]:
+    """How many each category should give: at least its floor, the sum that of the targets if floors allow it."""
+    kinds = sorted(target)
+    room = [max(0, target[c] - floor[c]) for c in kinds]
+    over = sum(max(0, floor[c] - target[c]) for c in kinds)
+    less = _margins(over, room) if over <= sum(room) else room
+    return {c: max(target[c], floor[c]) - n for c, n in zip(kinds, less)}
+
+
+def solve(
+    want: dict[str, int], have: dict[tuple[str, str], int], seed: int = 0, goal: dict[str, int] | None = None
+) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
+    """Quota of each cell (category, other class), and each category's shortfall: what it wants beyond what it holds.
+    goal: how many to draw of each category, if other than it wants."""
+    goal = want if goal is None else goal
     rng = random.Random(seed)
     kinds = sorted(want)
     others = sorted({o for (c, o), n in have.items() if c in want})
@@ -101,12 +121,12 @@ def solve(want: dict[str, int], have: dict[tuple[str, str], int], seed: int = 0)
     rng.shuffle(cells)
     sizes = [sum(n for (c, o), n in have.items() if o == x and c in want) for x in others]
     room = {c: sum(n for (k, _), n in have.items() if k == c) for c in kinds}
-    margins = _margins(sum(min(want[c], room[c]) for c in kinds), sizes)
+    margins = _margins(sum(min(goal[c], room[c]) for c in kinds), sizes)
     s, t = len(kinds) + len(others), len(kinds) + len(others) + 1
     flow = _Flow(t + 1)
     node = {c: i for i, c in enumerate(kinds)} | {("o", o): len(kinds) + i for i, o in enumerate(others)}
     for c in kinds:
-        flow.arc(s, node[c], want[c])
+        flow.arc(s, node[c], goal[c])
     arcs = {(c, o): flow.arc(node[c], node["o", o], have[c, o]) for c, o in cells}
     for o, m in zip(others, margins):
         flow.arc(node["o", o], t, m)
@@ -114,9 +134,14 @@ def solve(want: dict[str, int], have: dict[tuple[str, str], int], seed: int = 0)
     for o in others:
         flow.arc(node["o", o], t, OPEN)
     flow.run(s, t)
+    quota = {k: flow.cap[e ^ 1] for k, e in arcs.items() if flow.cap[e ^ 1]}
+    # what is wanted beyond the goal is not drawn, but shows what the category lacks
+    for c in kinds:
+        flow.arc(s, node[c], max(0, want[c] - goal[c]))
+    flow.run(s, t)
     slack = {c: flow.arc(node[c], t, OPEN) for c in kinds}
     flow.run(s, t)
-    return {k: flow.cap[e ^ 1] for k, e in arcs.items() if flow.cap[e ^ 1]}, {c: flow.cap[e ^ 1] for c, e in slack.items()}
+    return quota, {c: flow.cap[e ^ 1] for c, e in slack.items()}
 
 
 def holdings(items: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -129,54 +154,63 @@ def holdings(items: DataFrame, attributes: DataFrame) -> DataFrame:
     one = each.select("id", "dataset_id", "all", F.explode("all").alias("one"))
     other = F.filter("all", lambda x: x["attr_name"] != F.col("one.attr_name"))
     other = F.concat_ws("\x1f", F.transform(other, lambda x: F.concat_ws("=", x["attr_name"], x["kind"])))
-    return one.where("one.kind <> ''").select("id", "dataset_id", "one.attr_name", "one.kind", other.alias("other"))
+    rows = one.where("one.kind <> ''").select("id", "dataset_id", "one.attr_name", "one.kind", other.alias("other"))
+    # the commonest classes keep their name, all others are one class
+    classes = rows.groupBy("dataset_id", "attr_name", "other").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("dataset_id", "attr_name").orderBy(F.col("n").desc(), "other")
+    common = classes.withColumn("r", F.row_number().over(order)).where(F.col("r") < CLASSES).select("dataset_id", "attr_name", "other", F.lit(True).alias("_own"))
+    named = rows.join(common, ["dataset_id", "attr_name", "other"], "left")
+    return named.select("id", "dataset_id", "attr_name", "kind", F.when(F.col("_own"), F.col("other")).otherwise(F.lit(REST)).alias("other"))
 
 
 def wanted(targets: DataFrame) -> DataFrame:
-    """Each target row with kind and want = the greater of min_rows and target_share * sample_size, rounded."""
-    share = F.round(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0)))
-    return targets.where("request_id IS NOT NULL AND category IS NOT NULL").select(
-        "request_id",
-        "dataset_id",
-        "attr_name",
-        "category",
-        category(F.col("category")).alias("kind"),
-        F.greatest(F.coalesce("min_rows", F.lit(0)).cast("bigint"), share.cast("bigint"), F.lit(0)).alias("want"),
-    )
+    """Each target row with kind, floor (min_rows), target (target_share * sample_size, rounded) and want, the greater
+    of both. Nulls and negative numbers ask for nothing."""
+    share = F.greatest(F.round(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0))).cast("bigint"), F.lit(0))
+    floor = F.greatest(F.coalesce("min_rows", F.lit(0)).cast("bigint"), F.lit(0))
+    rows = targets.where("request_id IS NOT NULL AND category IS NOT NULL")
+    cols = ["request_id", "dataset_id", "attr_name", "category", category(F.col("category")).alias("kind")]
+    return rows.select(*cols, floor.alias("floor"), share.alias("target"), F.greatest(floor, share).alias("want"))
 
 
 def quotas(want: DataFrame, held: DataFrame, seed: int = 0) -> DataFrame:
-    """(request_id, category, kind, other, want, available, quota, shortfall).
+    """(request_id, category, kind, other, want, goal, available, quota, shortfall, deviation).
 
-    For each row of want one report row with other null, quota the total drawn; then a row for each cell drawn from.
-    Rows of a request that name one kind twice share its items: their wants are added in the flow.
+    For each row of want one report row with other null: quota is the total drawn, deviation that less the target; then
+    a row for each cell drawn from. Rows of a request that name one kind twice share its items: their targets, floors
+    and wants are added in the flow, and each has the goal, quota and shortfall of both.
     """
     counts = held.groupBy("dataset_id", "attr_name", "kind", "other").agg(F.count("*").alias("n"))
     asks = want.select(F.col("request_id").alias("rid"), "dataset_id", "attr_name", "kind").distinct()
     have = counts.join(asks, ["dataset_id", "attr_name", "kind"]).select("rid", "kind", "other", "n")
+    names = ["want", "goal", "available", "quota", "shortfall", "deviation"]
 
     def one(w: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         w = w.sort_values(["category", "want"])
         h = h if len(w) else h.iloc[:0]
         cells = {(k, o): int(n) for k, o, n in zip(h["kind"], h["other"], h["n"])}
-        quota, short = solve({k: int(n) for k, n in w.groupby("kind")["want"].sum().items()}, cells, seed)
+        total = lambda c: {k: int(n) for k, n in w.groupby("kind")[c].sum().items()}
+        goal, target = goals(total("target"), total("floor")), total("target")
+        quota, short = solve(total("want"), cells, seed, goal)
         room: dict[str, int] = {}
         drawn: dict[str, int] = {}
         for (k, _), n in cells.items():
             room[k] = room.get(k, 0) + n
         for (k, _), n in quota.items():
             drawn[k] = drawn.get(k, 0) + n
-        rows = [(r.request_id, r.category, r.kind, None, r.want, room.get(r.kind, 0), drawn.get(r.kind, 0), short[r.kind]) for r in w.itertuples()]
-        named = dict(zip(w["kind"], w["category"]))
+        rows = [
+            (r.request_id, r.category, r.kind, None, r.want, goal[r.kind], room.get(r.kind, 0), drawn.get(r.kind, 0), short[r.kind], drawn.get(r.kind, 0) - target[r.kind])
+            for r in w.itertuples()
+        ]
+        called = dict(zip(w["kind"], w["category"]))
         rid = w["request_id"].iloc[0] if len(w) else None
-        rows += [(rid, named[k], k, o, None, cells[k, o], n, None) for (k, o), n in quota.items()]
-        return pd.DataFrame(rows, columns=["request_id", "category", "kind", "other", "want", "available", "quota", "shortfall"]).astype(
-            {"want": "Int64", "available": "Int64", "quota": "Int64", "shortfall": "Int64"}
-        )
+        rows += [(rid, called[k], k, o, None, None, cells[k, o], n, None, None) for (k, o), n in quota.items()]
+        return pd.DataFrame(rows, columns=["request_id", "category", "kind", "other", *names]).astype(dict.fromkeys(names, "Int64"))
 
-    schema = "request_id bigint, category string, kind string, other string, want bigint, available bigint, quota bigint, shortfall bigint"
-    w = want.select("request_id", "category", "kind", "want").groupBy("request_id")
-    return w.cogroup(have.groupBy("rid")).applyInPandas(one, schema)
+    schema = "request_id bigint, category string, kind string, other string, " + ", ".join(f"{c} bigint" for c in names)
+    # a fixed number of partitions: by size alone they would be merged to one, though the work goes with requests
+    w = want.select("request_id", "category", "kind", "floor", "target", "want").repartition(PARTS, "request_id").groupBy("request_id")
+    return w.cogroup(have.repartition(PARTS, "rid").groupBy("rid")).applyInPandas(one, schema)
 
 
 def short_of(report: DataFrame) -> DataFrame:
@@ -188,6 +222,7 @@ def draw(report: DataFrame, want: DataFrame, held: DataFrame, seed: int = 0) ->
     """(request_id, category, id): the sample, each cell's quota drawn by a hash of request and id."""
     where = want.select("request_id", "dataset_id", "attr_name").distinct()
     cells = report.where("other IS NOT NULL").join(where, "request_id")
-    rows = held.join(cells.drop("available", "want", "shortfall"), ["dataset_id", "attr_name", "kind", "other"])
-    order = [F.xxhash64("request_id", "id", F.lit(seed)), F.col("id")]
-    return top(rows, ["request_id", "kind", "other"], order, "quota", "place").select("request_id", "category", "id")
+    cells = cells.select("dataset_id", "attr_name", "kind", "other", "request_id", "category", "quota", F.ceil(F.col("available") / SPLIT).alias("_salts"))
+    rows = held.join(cells, ["dataset_id", "attr_name", "kind", "other"])
+    order = [F.md5(F.concat_ws("-", "request_id", "id", F.lit(str(seed)))), F.col("id")]
+    return top(rows, ["request_id", "kind", "other"], order, "quota", "place", F.col("_salts")).select("request_id", "category", "id")

@@ -237,12 +237,31 @@ def test_quotas_and_draw(spark):
     report = quota.quotas(want, held)
     assert sorted(map(tuple, quota.short_of(report).collect())) == [(1, "Oak"), (1, "elm"), (2, "fern")]
     rows = {(r["request_id"], r["category"]): (r["want"], r["available"], r["quota"], r["shortfall"]) for r in report.where("other IS NULL").collect()}
-    assert rows[1, "fern"] == (10, 43, 10, 0) and rows[1, "Oak"] == (30, 15, 15, 15)
+    # the floors alone exceed the size
+    assert rows[1, "fern"] == (10, 43, 1, 0) and rows[1, "Oak"] == (30, 15, 15, 15)
     sample = quota.draw(report, want, held).collect()
-    assert len(sample) == len({(r["request_id"], r["id"]) for r in sample}) == 25
+    assert len(sample) == len({(r["request_id"], r["id"]) for r in sample}) == 16
     assert quota.quotas(want.limit(0), held).count() == 0 and quota.short_of(quota.quotas(want, held.limit(0))).count() == 4
 
 
+def test_goals_keep_the_sample_size_where_floors_exceed_targets():
+    assert quota.goals({"a": 12, "b": 6, "c": 2}, {"a": 1, "b": 1, "c": 5}) == {"a": 10, "b": 5, "c": 5}
+    assert quota.goals({"a": 5, "b": 5}, {"a": 0, "b": 2}) == {"a": 5, "b": 5}
+    assert quota.goals({"a": 3, "b": 1}, {"a": 3, "b": 4}) == {"a": 3, "b": 4}
+    q, short = quota.solve({"a": 10, "b": 5}, {("a", "x"): 9, ("b", "x"): 9}, goal={"a": 7, "b": 5})
+    assert q == {("a", "x"): 7, ("b", "x"): 5} and short == {"a": 1, "b": 0}
+
+
+def test_rare_classes_of_other_attributes_are_one(spark, monkeypatch):
+    monkeypatch.setattr(quota, "CLASSES", 3)
+    items = spark.createDataFrame([(i, 1, [1.0], T[0], T[0]) for i in range(40)], RAW)
+    attrs = spark.createDataFrame([(i, "c", "fern", T[0]) for i in range(40)] + [(i, "o", f"v{min(i // 10, 1) if i < 30 else i}", T[0]) for i in range(40)], "id bigint, attr_name string, attr_value string, loaded_at timestamp")
+    held = quota.holdings(items, attrs).where("attr_name = 'c'")
+    assert sorted((r["other"], r["count"]) for r in held.groupBy("other").count().collect()) == [("*", 10), ("o=v0", 10), ("o=v1", 20)]
+    want = quota.wanted(spark.createDataFrame([(1, 1, "c", "fern", 1.0, 20, 0)], "request_id bigint, dataset_id bigint, attr_name string, category string, target_share double, sample_size int, min_rows int"))
+    assert quota.draw(quota.quotas(want, held), want, held).count() == 20
+
+
 def test_standing_duplicates_of_a_request_share_their_items(spark):
     held = spark.createDataFrame([(i, 1, "c", "fern", "") for i in range(4)], "id bigint, dataset_id bigint, attr_name string, kind string, other string")
     targets = spark.createDataFrame([(1, 1, "c", "fern", 0.5, 6, 0), (1, 1, "c", "FERN", 0.5, 6, 0)], "request_id bigint, dataset_id bigint, attr_name string, category string, target_share double, sample_size int, min_rows int")
