@@ -1,18 +1,19 @@
 """The k nearest vectors of every query vector: block matrix join with int8 tiles.
 
 Vectors of a data set are sorted by a coarse cell and cut into blocks of at most BLOCK rows, so that a group of similar
-vectors has blocks of its own. A block keeps its centre, each row as int8 steps from it with the norm of what rounding
-took away, and the distance within which a row has k others of its block. A tile joins a block of queries with a block
-of vectors of the same data set: the int8 product gives each distance up to the two rounding norms, so a pair survives
-only if its lower bound is within the k-th smallest upper bound of its query; survivors are recomputed in float64 and
-merged into the best k of each row. The result is exact.
-
-Tiles are made between stacks of 2**STACK_BITS blocks, so that a data set's rows are sent once per stack of queries, not
-once per block.
-
-The product runs on float32 copies of the int8 steps: sums stay below 2**24, so it is exact, and it uses the BLAS that
-NumPy has for floats only. Blocks are at most BLOCK rows, so a hot data set becomes more tiles, not larger ones. Block
-pairs, and rows within a tile, whose centres and radii leave no room for a neighbour are left out.
+vectors has blocks of its own. A block keeps its centre, each row as int8 steps from it (a coarse byte and a fine one, of a
+FINE-th of the step) with the norm of what rounding took away, and the distance within which a row has k others of its
+block. A tile joins a block of queries with a block of vectors of the same data set: the products of the bytes give each
+distance up to the two rounding norms, so a pair survives only if its lower bound is within the k-th smallest upper
+bound of its query; survivors are recomputed in float64 and merged into the best k of each row. The result is exact.
+
+Tiles are made between stacks of STACK blocks, so that a data set's rows are sent once per stack of queries, not once
+per block.
+
+The product runs on float32 copies of the bytes: sums stay below 2**24, so it is exact, and it uses the BLAS that NumPy
+has for floats only. Blocks are at most BLOCK rows, so a hot data set becomes more tiles, not larger ones; its block
+pairs are looked through in parts of SPREAD query blocks. Block pairs, and rows within a tile, whose centres and radii
+leave no room for a neighbour are left out.
 """
 
 from __future__ import annotations
@@ -26,15 +27,32 @@ from filigree.session import materialize
 
 BLOCK = 1024
 PURE = 256
-STACK_BITS = 3
-BLOCK_SCHEMA = "dataset_id bigint, block bigint, n int, dims int, ids binary, x binary, q binary, err binary, near binary, centre binary, scale double, radius double, reach double"
+STACK = 8
+FINE = 254
+SPREAD = 64
+LIGHT = "block bigint, centre binary, radius double, reach double"
+HEAVY = "block bigint, n int, dims int, ids binary, x binary, q binary, err binary, near binary, centre binary, scale double, radius double"
+STACK_SCHEMA = f"dataset_id bigint, stack bigint, light array<struct<{LIGHT.replace(' ', ': ')}>>, heavy array<struct<{HEAVY.replace(' ', ': ')}>>".replace(",: ", ", ")
+
+
+def _steps(off: np.ndarray, scale: float) -> np.ndarray:
+    """Rows as bytes: the coarse steps of each, then the fine ones."""
+    coarse = np.rint(off / scale)
+    fine = np.rint((off - coarse * scale) * (FINE / scale))
+    return np.hstack([coarse, fine]).astype(np.int8)
+
+
+def _steps_value(q: np.ndarray, scale: float) -> np.ndarray:
+    d = q.shape[1] // 2
+    return (q[:, :d] + q[:, d:] / FINE) * scale
 
 
 def _pack(batches, k: int):
-    """Rows in sort order to blocks: long runs of one cell by themselves, shorter ones together, never two data sets."""
-    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+    """Rows in sort order to stacks of blocks: long runs of one cell by themselves, shorter ones together, never two
+    data sets in a stack."""
     part, seq = None, 0
     mixed: list[pd.DataFrame] = []
+    stack: list[tuple[int, dict]] = []
     kept = None
 
     def block(rows: pd.DataFrame):
@@ -43,8 +61,8 @@ def _pack(batches, k: int):
         centre = x.mean(axis=0)
         off = x - centre
         scale = float(np.abs(off).max()) / 127 or 1.0
-        q = np.rint(off / scale).astype(np.int8)
-        err = np.sqrt(((off - q * scale) ** 2).sum(axis=1))
+        q = _steps(off, scale)
+        err = np.sqrt(((off - _steps_value(q, scale)) ** 2).sum(axis=1))
         size = (off**2).sum(axis=1)
         near = np.full(len(x), np.inf)
         if len(x) > k:
@@ -52,7 +70,29 @@ def _pack(batches, k: int):
             np.fill_diagonal(d2, np.inf)
             near = np.sqrt(np.maximum(np.partition(d2, k - 1, axis=1)[:, k - 1], 0) + 1e-11 * (1 + size.max())) * (1 + 1e-9)
         seq += 1
-        return (int(rows["dataset_id"].iloc[0]), (part << 32) + seq, *x.shape, rows["id"].to_numpy(np.int64).tobytes(), x.tobytes(), q.tobytes(), err.tobytes(), near.tobytes(), centre.tobytes(), scale, float(np.sqrt(size.max())), float(near.max()))
+        ids, radius = rows["id"].to_numpy(np.int64), float(np.sqrt(size.max()))
+        return int(rows["dataset_id"].iloc[0]), {
+            "block": (part << 32) + seq, "n": len(x), "dims": x.shape[1], "ids": ids.tobytes(), "x": x.tobytes(), "q": q.tobytes(), "err": err.tobytes(),
+            "near": near.tobytes(), "centre": centre.tobytes(), "scale": scale, "radius": radius, "reach": float(near.max()),
+        }
+
+    def stacked(blocks, last: bool):
+        """Whole stacks of the blocks so far."""
+        rows = []
+
+        def put():
+            light = [{c: b[c] for c in ("block", "centre", "radius", "reach")} for _, b in stack]
+            heavy = [{c: v for c, v in b.items() if c != "reach"} for _, b in stack]
+            rows.append((stack[0][0], stack[0][1]["block"], light, heavy))
+            stack.clear()
+
+        for b in blocks:
+            if stack and (len(stack) == STACK or stack[0][0] != b[0]):
+                put()
+            stack.append(b)
+        if last and stack:
+            put()
+        return pd.DataFrame(rows, columns=["dataset_id", "stack", "light", "heavy"])
 
     def flush():
         if mixed:
@@ -85,17 +125,17 @@ def _pack(batches, k: int):
     for b in batches:
         if len(b):
             part = int(b["part"].iloc[0]) if part is None else part
-            out = list(runs(b if kept is None else pd.concat([kept, b], ignore_index=True), False))
-            if out:
-                yield pd.DataFrame(out, columns=names)
-    out = list(runs(kept.reset_index(drop=True), True)) if kept is not None else []
-    out += list(flush())
-    if out:
-        yield pd.DataFrame(out, columns=names)
+            out = stacked(runs(b if kept is None else pd.concat([kept, b], ignore_index=True), False), False)
+            if len(out):
+                yield out
+    rest = list(runs(kept.reset_index(drop=True), True)) if kept is not None else []
+    out = stacked([*rest, *flush()], True)
+    if len(out):
+        yield out
 
 
 def blocks(vectors: DataFrame, parts: int, k: int) -> DataFrame:
-    """vectors (dataset_id, id, features) as blocks.
+    """vectors (dataset_id, id, features) as stacks of blocks.
 
     Rows are sorted by a coarse cell of all features (twice their root mean square wide), so that a group of similar
     rows is one run and its blocks are compact. Range partitions have the id as last key: a hot data set or cell is
@@ -107,13 +147,13 @@ def blocks(vectors: DataFrame, parts: int, k: int) -> DataFrame:
     keys = ["dataset_id", "cell", "id"]
     ordered = vectors.join(width, "dataset_id").withColumn("cell", F.when(F.col("width") > 0, cell).otherwise(F.lit(0)))
     ordered = ordered.select("dataset_id", "cell", "id", "features").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return materialize(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(lambda t: _pack(t, k), BLOCK_SCHEMA))
+    return materialize(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(lambda t: _pack(t, k), STACK_SCHEMA))
 
 
 def _unpack(r):
     n, dims = r["n"], r["dims"]
     get = lambda c, t: np.frombuffer(r[c], dtype=t)
-    return get("ids", np.int64), get("x", np.float64).reshape(n, dims), get("q", np.int8).reshape(n, dims), get("err", np.float64), get("centre", np.float64), r["scale"]
+    return get("ids", np.int64), get("x", np.float64).reshape(n, dims), get("q", np.int8).reshape(n, 2 * dims), get("err", np.float64), get("centre", np.float64), r["scale"]
 
 
 def tile(a, b, k: int, reach=np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,14 +162,19 @@ def tile(a, b, k: int, reach=np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray
     ids_a, xa, qa, ea, ca, sa = a
     ids_b, xb, qb, eb, cb, sb = b
     reach = np.broadcast_to(np.asarray(reach, float), (len(ids_a),))
+    dims = xa.shape[1]
     fa, fb = qa.astype(np.float32), qb.astype(np.float32)
-    gap = ca - cb
-    mid = (fa @ fb.T).astype(np.float64)
+    turned = np.hstack([fb[:, dims:], fb[:, :dims]])
+    gap, va, vb = ca - cb, _steps_value(qa, sa), _steps_value(qb, sb)
+    mid = (fa @ turned.T).astype(np.float64)  # coarse by fine, both ways
+    mid += (fa[:, dims:] @ fb[:, dims:].T) / FINE
+    mid /= FINE
+    mid += fa[:, :dims] @ fb[:, :dims].T
     mid *= -2 * sa * sb
-    mid += (sa * sa * np.einsum("ij,ij->i", fa, fa, dtype=np.float64) + 2 * sa * (fa @ gap) + gap @ gap)[:, None]
-    mid += (sb * sb * np.einsum("ij,ij->i", fb, fb, dtype=np.float64) - 2 * sb * (fb @ gap))[None, :]
+    mid += (np.einsum("ij,ij->i", va, va) + 2 * (va @ gap) + gap @ gap)[:, None]
+    mid += (np.einsum("ij,ij->i", vb, vb) - 2 * (vb @ gap))[None, :]
     np.sqrt(np.maximum(mid, 0, out=mid), out=mid)
-    slack = 1e-4 * (1 + np.abs(gap).max(initial=0) + 127 * (sa + sb))  # of the float32 and root arithmetic
+    slack = 1e-6 * (1 + np.sqrt(gap @ gap) + 127 * (sa + sb) * np.sqrt(dims))  # of the float64 and root arithmetic
     own, at_a, at_b = np.intersect1d(ids_a, ids_b, return_indices=True)
     mid[at_a, at_b] = np.inf
     limit = reach
@@ -138,17 +183,6 @@ def tile(a, b, k: int, reach=np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray
         limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1] + ea + slack)
     mid -= eb[None, :]
     i, j = np.nonzero((mid <= (limit + ea + slack)[:, None]) & (mid < np.inf))
-    if len(i) > 4 * k * len(ids_a):
-        # steps too coarse for these rows: the float product narrows the survivors down
-        ya, yb = xa - ca, xb - ca
-        na, nb = np.einsum("ij,ij->i", ya, ya), np.einsum("ij,ij->i", yb, yb)
-        d2 = na[:, None] + nb[None, :] - 2 * (ya @ yb.T)
-        d2[at_a, at_b] = np.inf
-        best = np.partition(d2, k - 1, axis=1)[:, k - 1] if d2.shape[1] > k else np.full(len(d2), np.inf)
-        fuzz = 1e-11 * (1 + na.max(initial=0) + nb.max(initial=0))
-        i, j = np.nonzero(d2 <= (np.minimum(best, limit * limit) * (1 + 1e-9) + fuzz)[:, None])
-        inside = np.isfinite(d2[i, j])
-        i, j = i[inside], j[inside]
     d = np.empty(len(i))
     for at in range(0, len(i), 65536):
         s = slice(at, at + 65536)
@@ -191,8 +225,8 @@ def _tiles(batches, k: int):
     """The block pairs of two joined stacks, near ones first; each query row's best k of the whole tile go on."""
     for t in batches:
         for r in t.itertuples(index=False):
-            a = {x["block"]: _Best(_unpack(x), np.frombuffer(x["near"], np.float64), k) for x in r.a_stack}
-            b = {x["block"]: (_unpack(x), x["radius"]) for x in r.b_stack}
+            a = {x["block"]: _Best(_unpack(x), np.frombuffer(x["near"], np.float64), k) for x in r.a_blocks}
+            b = {x["block"]: (_unpack(x), x["radius"]) for x in r.b_blocks}
             used = set()
             for x in sorted(r.todo, key=lambda x: x["low"]):
                 a[x["a_block"]].meet(*b[x["b_block"]])
@@ -210,7 +244,7 @@ def _near_blocks(batches):
         gap = [np.frombuffer(a, np.float64) - np.frombuffer(b, np.float64) for a, b in zip(t["a_centre"], t["b_centre"])]
         d = np.array([np.sqrt(g @ g) for g in gap])
         t["low"] = np.maximum(d - t["a_radius"].to_numpy() - t["b_radius"].to_numpy(), 0) * (1 - 1e-9) - 1e-9
-        yield t.loc[t["low"] <= t["a_reach"], ["a_block", "b_block", "low"]]
+        yield t.loc[t["low"] <= t["a_reach"], ["a_stack", "b_stack", "a_block", "b_block", "low"]]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, rows: int | None = None) -> DataFrame:
@@ -223,19 +257,20 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, r
     parts = lambda n: max(1, min(4096, -(-n // (8 * BLOCK))))
     data = blocks(vectors, parts(rows if rows is not None else vectors.count()), k)
     asks = data if queries is None else blocks(queries, parts(queries.count()), k)
-    side = lambda t, p, cols: t.select(*(F.col(c).alias(c if c == "dataset_id" else f"{p}_{c}") for c in cols))
-    light = ["dataset_id", "block", "centre", "radius"]
-    pairs = side(asks, "a", [*light, "reach"]).join(side(data, "b", light), "dataset_id").drop("dataset_id")
+    light = lambda t, p: t.select("dataset_id", "stack", F.explode("light").alias("l")).select("dataset_id", *(F.col(c).alias(f"{p}_{c.split('.')[-1]}") for c in ("stack", "l.block", "l.centre", "l.radius", "l.reach")))
+    a, b = light(asks, "a"), light(data, "b").drop("b_reach")
+    # a hot data set's pairs are made in parts of SPREAD query blocks, each with all of its blocks
+    many = a.groupBy("dataset_id").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
+    a = a.join(many, "dataset_id").withColumn("salt", F.pmod(F.xxhash64("a_block"), F.col("salts").cast("bigint")).cast("int")).drop("salts")
+    b = b.join(many, "dataset_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    pairs = a.join(b, ["dataset_id", "salt"]).drop("dataset_id", "salt")
     spread = pairs.repartition(max(8, spark.sparkContext.defaultParallelism))
-    todo = spread.mapInPandas(_near_blocks, "a_block bigint, b_block bigint, low double")
-    stack = lambda c: F.shiftright(c, STACK_BITS)
-    todo = todo.groupBy(stack("a_block").alias("a"), stack("b_block").alias("b")).agg(F.collect_list(F.struct("a_block", "b_block", "low")).alias("todo"))
+    todo = spread.mapInPandas(_near_blocks, "a_stack bigint, b_stack bigint, a_block bigint, b_block bigint, low double")
+    todo = todo.groupBy("a_stack", "b_stack").agg(F.collect_list(F.struct("a_block", "b_block", "low")).alias("todo"))
     todo = materialize(todo)
-    heavy = F.collect_list(F.struct("block", "n", "dims", "ids", "x", "q", "err", "near", "centre", "scale", "radius"))
-    stacks = lambda t, p: t.groupBy(stack("block").alias(p)).agg(heavy.alias(f"{p}_stack"))
-    a, b = materialize(stacks(asks, "a")), materialize(stacks(data, "b"))
+    heavy = lambda t, p: t.select(F.col("stack").alias(f"{p}_stack"), F.col("heavy").alias(f"{p}_blocks"))
     # a fixed number of partitions: by size alone they would be merged to a few, though the work goes with tiles
-    joined = todo.join(a, "a").repartition(max(8, min(4096, todo.count() // 4)), "b").join(b, "b")
-    found = joined.select("todo", "a_stack", "b_stack").mapInPandas(lambda t: _tiles(t, k), "src bigint, dst bigint, distance double")
+    joined = todo.join(heavy(asks, "a"), "a_stack").repartition(max(8, min(4096, todo.count() // 4)), "b_stack").join(heavy(data, "b"), "b_stack")
+    found = joined.select("todo", "a_blocks", "b_blocks").mapInPandas(lambda t: _tiles(t, k), "src bigint, dst bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
