@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import logging
 import math
 
 import numpy as np
@@ -29,6 +30,7 @@ CAPACITY = 4096
 SMALL = 8
 GROUPS = 64
 
+log = logging.getLogger("filigree")
 _encoders: dict[str, object] = {}
 
 
@@ -88,7 +90,7 @@ def _best_configuration(value: np.ndarray, sizes: np.ndarray, capacity: int) ->
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], int]]:
     """(configuration, how many containers) that hold the demand: the linear program rounded down, then the rest by
-    best fit of the rounded sizes."""
+    best fit of the rounded sizes. If the program is left before its optimum, which is logged, all is still packed."""
     s, b = np.array(sizes, np.int64), np.array(demand, np.int64)
     if not len(s):
         return []
@@ -110,8 +112,11 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         steps = np.where(way > 1e-9, np.maximum(x, 0) / np.where(way > 1e-9, way, 1), np.inf)
         out = int(steps.argmin())
         if not np.isfinite(steps[out]):
+            log.warning("configurations: no finite step; the last basis is used")
             break
         basis[:, out], cost[out] = enter, price
+    else:
+        log.warning("configurations: not optimal after %d turns; the last basis is used", 50 * len(s) + 50)
     x = np.linalg.solve(basis, b.astype(float))
     left, plan = b.copy(), []
     for j in np.argsort(-x):
@@ -226,7 +231,6 @@ def pieces(lengths: DataFrame, capacity: int) -> DataFrame:
 
 
 
-
 def pack(lengths: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """(doc_id, part, parts, n, container): each piece and its container, numbered from 0.
 

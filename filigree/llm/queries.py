@@ -92,6 +92,18 @@ def p6_containers(spark, d):
     return _packed(spark, d).select("doc_id", "part", "n", "container")
 
 
+def p6_quarters(spark, d):
+    """Texts packed by quarters of their bytes, so that SQL can count what must hold of any packing."""
+    quarters = F.ceil(F.octet_length("text") / 4).cast("bigint")
+    lengths = read(spark, d, "documents").select("doc_id", F.coalesce(quarters, F.lit(0)).alias("n_tokens"))
+    packed = pack.pack(materialize(lengths))
+    used = packed.groupBy("container").agg(F.count("*").alias("pieces"), F.sum("n").alias("n"))
+    docs = packed.groupBy("doc_id").agg(F.countDistinct("part").alias("p"), F.max("parts").alias("parts"), F.sum("n").alias("n"))
+    docs = docs.agg(F.count("*").alias("documents"), F.count_if("p <> parts").alias("broken"), F.sum("parts").alias("pieces"), F.sum("n").alias("total"))
+    full = used.agg(F.count_if(F.col("n") > pack.CAPACITY).alias("over"), (F.sum("n") >= 0.97 * F.count("*") * pack.CAPACITY).alias("well_filled"))
+    return docs.crossJoin(F.broadcast(full))
+
+
 def _leaks(spark, d):
     return leak.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
@@ -118,7 +130,7 @@ def p8_redacted(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_report, p2_sample, p2_sample_sizes, p3_found, p3_neighbours, p5_found, p5_subset, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_redacted)
+    for f in (p1_found, p1_groups, p2_found, p2_report, p2_sample, p2_sample_sizes, p3_found, p3_neighbours, p5_found, p5_subset, p6_found, p6_containers, p6_quarters, p7_found, p7_matches, p7_clean, p8_found, p8_redacted)
 }
 
 _USABLE = """
@@ -174,6 +186,23 @@ SELECT src, dst, round(d, 6) AS distance, rank FROM (
     "p5_found": _USABLE
     + f"""SELECT a.id FROM usable a WHERE a.dataset_id IN (SELECT dataset_id FROM subset_requests WHERE subset_size > 0)
   AND NOT EXISTS (SELECT 1 FROM usable b WHERE b.dataset_id = a.dataset_id AND b.id <> a.id AND {_DIST} <= 1.0)""",
+    "p5_subset": _USABLE.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", wanted AS (SELECT dataset_id, max(subset_size) AS k FROM subset_requests WHERE subset_size > 0 GROUP BY dataset_id),
+bin AS (SELECT u.*, list_transform(features, lambda v: floor(v / 4)) AS bin FROM usable u JOIN wanted USING (dataset_id)),
+rep AS (SELECT dataset_id, bin, min(id) AS rep FROM bin GROUP BY ALL),
+each AS (SELECT b.dataset_id, b.id, b.features, CASE WHEN b.id <> rep AND {_DIST.replace("a.", "b.").replace("b.features, b.features", "b.features, r.features")} <= 1 THEN rep ELSE b.id END AS part
+  FROM bin b JOIN rep USING (dataset_id, bin) JOIN usable r ON r.id = rep.rep),
+stand AS (SELECT * FROM each WHERE id = part),
+alike AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM stand a JOIN stand b ON a.dataset_id = b.dataset_id WHERE a.id = b.id OR {_DIST} <= 1.0),
+spread AS (SELECT 0 AS r, id, id AS l FROM stand UNION ALL SELECT r + 1, e.a, min(l) FROM spread JOIN alike e ON spread.id = e.b WHERE r < 40 GROUP BY r, e.a),
+one AS (SELECT e.dataset_id, e.id, e.part, s.l AS label FROM each e JOIN spread s ON e.part = s.id WHERE s.r = 40),
+turn AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, part ORDER BY md5(concat_ws('-', dataset_id, id)), id) AS turn FROM one),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, label ORDER BY turn, md5(concat_ws('-', 'part', part)), id) AS rank FROM turn),
+placed AS (SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id ORDER BY rank, md5(concat_ws('-', 'label', dataset_id, label)), id) AS place FROM ranked)
+SELECT dataset_id, id, CAST(place AS INTEGER) AS place FROM placed JOIN wanted USING (dataset_id) WHERE place <= k""",
+    "p6_quarters": """
+WITH q AS (SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS n FROM documents)
+SELECT count(*) AS documents, 0 AS broken, CAST(sum(ceil(n / 4096)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS total, 0 AS over, true AS well_filled FROM q WHERE n > 0""",
     "p7_found": _WORDS + "SELECT DISTINCT d.id AS doc_id, e.id AS eval_id FROM d JOIN e USING (s)",
     "p7_matches": _WORDS
     + """, hit AS (SELECT d.id AS doc_id, e.id AS eval_id, d.k AS p, e.k AS q FROM d JOIN e USING (s)),
