@@ -99,7 +99,7 @@ def p6_quarters(spark, d):
     packed = pack.pack(materialize(lengths))
     used = packed.groupBy("container").agg(F.count("*").alias("pieces"), F.sum("n").alias("n"))
     docs = packed.groupBy("doc_id").agg(F.countDistinct("part").alias("p"), F.max("parts").alias("parts"), F.sum("n").alias("n"))
-    docs = docs.agg(F.count("*").alias("documents"), F.count_if("p <> parts").alias("broken"), F.sum("parts").alias("pieces"), F.sum("n").alias("total"))
+    docs = docs.agg(F.count("*").alias("documents"), F.count_if(F.col("p") != F.col("parts")).alias("broken"), F.sum("parts").alias("pieces"), F.sum("n").alias("total"))
     full = used.agg(F.count_if(F.col("n") > pack.CAPACITY).alias("over"), (F.sum("n") >= 0.97 * F.count("*") * pack.CAPACITY).alias("well_filled"))
     return docs.crossJoin(F.broadcast(full))
 
@@ -174,7 +174,7 @@ SELECT l AS group_id, id FROM done WHERE l IN (SELECT l FROM done GROUP BY l HAV
     "p2_report": _HELD
     + """SELECT request_id, category, want, goal, have AS available, least(goal, have) AS quota, greatest(want - have, 0) AS shortfall, least(goal, have) - target AS deviation FROM goals""",
     # how many are drawn of each category, and that they all are of it
-    "p2_sample_sizes": _HELD + "SELECT request_id, category, least(goal, have) AS n, 0 AS strangers FROM goals WHERE least(goal, have) > 0",
+    "p2_sample_sizes": _HELD + "SELECT request_id, category, least(goal, have) AS n, CAST(0 AS BIGINT) AS strangers FROM goals WHERE least(goal, have) > 0",
     "p3_found": _USABLE
     + f""", near AS (SELECT a.id AS p, b.id AS q, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS r
   FROM usable a JOIN usable b ON a.dataset_id = b.dataset_id AND a.id <> b.id WHERE a.id IN (SELECT id FROM probe_items))
@@ -202,7 +202,7 @@ placed AS (SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id ORD
 SELECT dataset_id, id, CAST(place AS INTEGER) AS place FROM placed JOIN wanted USING (dataset_id) WHERE place <= k""",
     "p6_quarters": """
 WITH q AS (SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT) AS n FROM documents)
-SELECT count(*) AS documents, 0 AS broken, CAST(sum(ceil(n / 4096)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS total, 0 AS over, true AS well_filled FROM q WHERE n > 0""",
+SELECT count(*) AS documents, CAST(0 AS BIGINT) AS broken, CAST(sum(ceil(n / 4096)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS total, CAST(0 AS BIGINT) AS over, true AS well_filled FROM q WHERE n > 0""",
     "p7_found": _WORDS + "SELECT DISTINCT d.id AS doc_id, e.id AS eval_id FROM d JOIN e USING (s)",
     "p7_matches": _WORDS
     + """, hit AS (SELECT d.id AS doc_id, e.id AS eval_id, d.k AS p, e.k AS q FROM d JOIN e USING (s)),
