@@ -1,7 +1,7 @@
 """The k nearest vectors of every query vector: block matrix join with int8 tiles.
 
 Vectors of a data set are sorted by a coarse cell and cut into blocks of at most BLOCK rows, so that a group of similar
-vectors has blocks of its own. A block keeps its centre, each row as int8 steps from it (a coarse byte and a fine one, of a
+vectors has blocks of its own. A block has a centre, each row as int8 steps from it (a coarse byte and a fine one, of a
 FINE-th of the step) with the norm of what rounding took away, and the distance within which a row has k others of its
 block. A tile joins a block of queries with a block of vectors of the same data set: the products of the bytes give each
 distance up to the two rounding norms, so a pair survives only if its lower bound is within the k-th smallest upper
@@ -31,7 +31,7 @@ STACK = 8
 FINE = 254
 SPREAD = 64
 LIGHT = "block bigint, centre binary, radius double, reach double"
-HEAVY = "block bigint, n int, dims int, ids binary, x binary, q binary, err binary, near binary, centre binary, scale double, radius double"
+HEAVY = "block bigint, n int, dims int, ids binary, x binary, near binary, centre binary, scale double, radius double"
 STACK_SCHEMA = f"dataset_id bigint, stack bigint, light array<struct<{LIGHT.replace(' ', ': ')}>>, heavy array<struct<{HEAVY.replace(' ', ': ')}>>".replace(",: ", ", ")
 
 
@@ -61,8 +61,6 @@ def _pack(batches, k: int):
         centre = x.mean(axis=0)
         off = x - centre
         scale = float(np.abs(off).max()) / 127 or 1.0
-        q = _steps(off, scale)
-        err = np.sqrt(((off - _steps_value(q, scale)) ** 2).sum(axis=1))
         size = (off**2).sum(axis=1)
         near = np.full(len(x), np.inf)
         if len(x) > k:
@@ -72,8 +70,8 @@ def _pack(batches, k: int):
         seq += 1
         ids, radius = rows["id"].to_numpy(np.int64), float(np.sqrt(size.max()))
         return int(rows["dataset_id"].iloc[0]), {
-            "block": (part << 32) + seq, "n": len(x), "dims": x.shape[1], "ids": ids.tobytes(), "x": x.tobytes(), "q": q.tobytes(), "err": err.tobytes(),
-            "near": near.tobytes(), "centre": centre.tobytes(), "scale": scale, "radius": radius, "reach": float(near.max()),
+            "block": (part << 32) + seq, "n": len(x), "dims": x.shape[1], "ids": ids.tobytes(), "x": x.tobytes(), "near": near.tobytes(),
+            "centre": centre.tobytes(), "scale": scale, "radius": radius, "reach": float(near.max()),
         }
 
     def stacked(blocks, last: bool):
@@ -151,9 +149,14 @@ def blocks(vectors: DataFrame, parts: int, k: int) -> DataFrame:
 
 
 def _unpack(r):
+    """ids, vectors, steps, norms of what rounding took away, centre and step of a block. Steps are made here: vectors
+    travel for the exact distances, and steps beside them would only make blocks larger."""
     n, dims = r["n"], r["dims"]
     get = lambda c, t: np.frombuffer(r[c], dtype=t)
-    return get("ids", np.int64), get("x", np.float64).reshape(n, dims), get("q", np.int8).reshape(n, 2 * dims), get("err", np.float64), get("centre", np.float64), r["scale"]
+    x, centre, scale = get("x", np.float64).reshape(n, dims), get("centre", np.float64), r["scale"]
+    off = x - centre
+    q = _steps(off, scale)
+    return get("ids", np.int64), x, q, np.sqrt(((off - _steps_value(q, scale)) ** 2).sum(axis=1)), centre, scale
 
 
 def tile(a, b, k: int, reach=np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filigree.llm import cover, groups, leak, nearest, pack, pii, quota
 from filigree.llm.items import category, clean_rows, standing, usable_items
-from filigree.session import materialize, read
+from filigree.session import materialize, read, release
 
 
 def _usable(spark: SparkSession, d: str) -> DataFrame:
@@ -64,11 +64,14 @@ def p3_found(spark, d):
     usable = materialize(_usable(spark, d))
     probes = read(spark, d, "probe_items").where("id IS NOT NULL").select("id").distinct()
     near = nearest.nearest(usable, usable.join(probes, "id", "left_semi"))
+    release(usable)  # its rows are in blocks now
     return near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def p3_neighbours(spark, d):
-    near = nearest.nearest(materialize(_usable(spark, d)))
+    usable = materialize(_usable(spark, d))
+    near = nearest.nearest(usable)
+    release(usable)
     return near.select("src", "dst", F.round("distance", 6).alias("distance"), "rank")
 
 
