@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.operators.pairs import numbered
+from filigree.session import materialize
+
 
 def extreme_pairs(distorted: DataFrame, count: int | None = None, highest: bool = True) -> DataFrame:
     """Pairs by distortion, ties by src and dst; count makes it a top-k."""
@@ -19,7 +22,7 @@ def cdf(distorted: DataFrame, column: str = "distortion", max_points: int = 100_
     Ranks come from a range partition each: rows are cut into value ranges by approximate quantiles and a range's
     offset is added, so no single task sorts everything. Rows with the same value are ranked by src and dst.
     """
-    rows = distorted.select("src", "dst", F.col(column).alias("value")).where("value IS NOT NULL")
+    rows = materialize(distorted.select("src", "dst", F.col(column).alias("value")).where("value IS NOT NULL"))
     cuts = rows.approxQuantile("value", [k / 64 for k in range(1, 64)], 0.005)
     if not cuts:
         return rows.select("value", F.lit(0.0).alias("share"))
@@ -41,7 +44,7 @@ def label_codes(rows: DataFrame, column: str) -> DataFrame:
     """rows plus code: the place of the value among the sorted distinct values, from 0. The distinct values are
     numbered, not the rows; null values have a null code."""
     values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct()
-    codes = values.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int").alias("code"))
+    codes = numbered(values, "_v").select("_v", F.col("idx").cast("int").alias("code"))
     return rows.join(codes, F.col(column) == F.col("_v"), "left").drop("_v")
 
 

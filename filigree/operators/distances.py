@@ -79,12 +79,13 @@ def gradient(edges: DataFrame, points: DataFrame, kernel: Kernel, weight: str =
     """(id, gradient) of the mean distortion: each edge sends its pull to both ends, summed with map-side combining.
 
     Where the slope over the distance is no finite number (coincident ends), it counts as 1, times a difference of
-    zero. Items without edges have no row.
+    zero. Items without edges have no row; edges with an end without a point do not count.
     """
     dims = points.select(F.size("x")).first()
     dims = dims[0] if dims else 0
     rows = gather(edges, points)
-    count = edges.count()
+    ids = points.select("id").distinct()
+    count = max(1, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").count())
     d = V.distance(F.col("xi"), F.col("xj"))
     pull = F.when(F.col("_d") > 0, kernel.slope_column(F.col("_d"), F.col(weight)) / F.col("_d"))
     rows = rows.withColumn("_d", d).withColumn("_g", pull)

@@ -17,16 +17,18 @@ class Graph:
 
     @staticmethod
     def from_edges(edges: DataFrame, n_items: int | None = None) -> Graph:
-        """Ends are put in order, weights default to 1, repeated pairs are summed and sums of zero dropped.
+        """Ends are put in order, weights default to 1, repeated pairs are summed; sums of zero, infinities and what is
+        not a number are no edges. A self edge other than zero raises ValueError.
 
-        Null ends are dropped; null weights add nothing. n_items: the greatest id plus 1 if not given.
+        Null ends are dropped; null weights add nothing. n_items: the greatest id of any edge plus 1 if not given.
         """
         w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
         rows = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), w.alias("weight"))
-        summed = rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight <> 0")
-        if n_items is None:
-            n_items = (summed.agg(F.max("dst")).first()[0] or -1) + 1
-        return Graph(summed, n_items)
+        loops, last = rows.agg(F.max(F.when((F.col("src") == F.col("dst")) & (F.col("weight") != 0), F.col("src"))), F.max("dst")).first()
+        if loops is not None:
+            raise ValueError(f"a self edge at {loops}")
+        summed = rows.where("src < dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight <> 0 AND abs(weight) < double('inf')")
+        return Graph(summed, (-1 if last is None else last) + 1 if n_items is None else n_items)
 
     @staticmethod
     def from_adjacency(rows: DataFrame) -> Graph:
@@ -95,5 +97,12 @@ def radius(graph_edges: DataFrame, column: str = "weight", share: float = 0.75,
     return graph_edges.agg((F.percentile(column, F.lit(share)) * times).alias("radius"))
 
 
-def positive_edges(edges: DataFrame) -> DataFrame:
-    return edges.where("weight > 0")
+def above(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Edges whose weight exceeds threshold."""
+    return edges.where(F.col("weight") > threshold)
+
+
+def incidence(edges: DataFrame) -> DataFrame:
+    """(id, src, dst, sign): two rows per edge, 1 at its first end and -1 at its second, as in an incidence matrix."""
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("sign")), F.struct(F.col("dst").alias("id"), F.lit(-1).alias("sign")))).alias("e")
+    return edges.select("src", "dst", ends).select("e.id", "src", "dst", "e.sign")

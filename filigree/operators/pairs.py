@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filigree.session import materialize
+
+BUCKETS = 4096
+
 
 def n_pairs(n: int) -> int:
     return n * (n - 1) // 2
@@ -53,6 +57,19 @@ def n_draws(count: int, total: int) -> int:
     return math.ceil(-total * math.log1p(-share) * 1.1 + 8 * math.sqrt(count) + 64)
 
 
+def first_rows(rows: DataFrame, key: str, count: int, span: int, ties: list[str]) -> DataFrame:
+    """The `count` rows of smallest key (0..span-1), ties by `ties`: a histogram of BUCKETS key ranges tells which range
+    the last row is in, so only that range is sorted. rows is read twice and should be a table."""
+    ranged = rows.withColumn("_b", F.floor(F.col(key) / (span / BUCKETS)).cast("int"))
+    upto = 0
+    for b, n in sorted(tuple(r) for r in ranged.groupBy("_b").count().collect()):  # at most BUCKETS + 1 rows
+        if upto + n >= count:
+            last = ranged.where(F.col("_b") == b).orderBy(key, *ties).limit(count - upto)
+            return ranged.where(F.col("_b") < b).unionByName(last).drop("_b")
+        upto += n
+    return rows
+
+
 def sample_edges(spark: SparkSession, n: int, count: int, exclude: DataFrame | None = None, seed: int = 0, exact: bool = False) -> DataFrame:
     """A uniform sample of `count` pairs without replacement, without the excluded.
 
@@ -73,16 +90,18 @@ def sample_edges(spark: SparkSession, n: int, count: int, exclude: DataFrame | N
         pool = all_pairs(spark, n)
         if gone is not None:
             pool = pool.join(gone, ["src", "dst"], "left_anti")
-        return pool.orderBy(_number(F.concat_ws("-", "src", "dst", F.lit(str(seed)))), "src", "dst").limit(count)
+        drawn = materialize(pool.withColumn("_key", _number(F.concat_ws("-", "src", "dst", F.lit(str(seed))))))
+        return first_rows(drawn, "_key", count, 1 << 60, ["src", "dst"]).select("src", "dst")
     late = gone is not None and not exact
     many = count if gone is None or late else math.ceil(count * total / (total - out) * 1.05) + 64
-    draws = spark.range(n_draws(many, total)).select("id", (_number(F.concat_ws("-", "id", F.lit(str(seed)))) % total).alias("e"))
+    times = n_draws(many, total)
+    draws = spark.range(times).select("id", (_number(F.concat_ws("-", "id", F.lit(str(seed)))) % total).alias("e"))
     first = draws.groupBy("e").agg(F.min("id").alias("id"))
     u, v = decode(F.col("e"), n)
     pairs = first.select("id", u.alias("src"), v.alias("dst"))
     if gone is not None and exact:
         pairs = pairs.join(gone, ["src", "dst"], "left_anti")
-    picked = pairs.orderBy("id").limit(count).select("src", "dst")
+    picked = first_rows(materialize(pairs), "id", count, times, []).select("src", "dst")
     return picked.join(gone, ["src", "dst"], "left_anti") if late else picked
 
 
@@ -100,3 +119,13 @@ def without_anchored(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     b = pinned.select(F.col("id").alias("dst"), F.lit(True).alias("_b"))
     both = edges.join(a, "src", "left").join(b, "dst", "left").where("_a IS NULL OR _b IS NULL")
     return both.select(*edges.columns)
+
+
+def numbered(rows: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """rows plus their number, 0..n-1 in the order of key: partition counts give offsets, so no task sorts all."""
+    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    fixed = materialize(ranged)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = fixed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return fixed.withColumn("_r", local).join(offsets, "_p").withColumn(name, F.col("_r") + F.col("_from")).drop("_p", "_r", "_from")

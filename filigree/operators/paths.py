@@ -1,7 +1,8 @@
 """Shortest paths between all pairs of a graph, and neighbours by path length.
 
-Where the edges fit a broadcast (checked), sources are spread over tasks and searched on arrays: breadth first for
-unit weights, else with a heap. Beyond that, distance tables are relaxed by joins until nothing shrinks.
+Where the edges fit a broadcast (checked), sources are spread over tasks and searched on arrays, whole frontiers at a
+time; neighbours by path end their search at the k-th. Beyond that, distance tables are relaxed by joins until nothing
+shrinks.
 """
 
 from __future__ import annotations
@@ -19,41 +20,80 @@ from filigree.session import materialize, release
 BROADCAST_EDGES = 20_000_000
 
 
-def search(first: np.ndarray, to: np.ndarray, cost: np.ndarray, source: int, limit: float, unit: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes reached from source within limit, and their distances, over adjacency arrays."""
-    if unit:
-        seen = {source}
-        nodes, hops, frontier, h = [], [], [source], 0
-        while frontier and h < limit:
-            h += 1
-            new = []
-            for v in frontier:
-                for w in to[first[v] : first[v + 1]].tolist():
-                    if w not in seen:
-                        seen.add(w)
-                        new.append(w)
-            nodes += new
-            hops += [float(h)] * len(new)
-            frontier = new
-        return np.array(nodes, np.int64), np.array(hops)
-    done: dict[int, float] = {}
-    queue = [(0.0, source)]
-    while queue:
-        d, v = heapq.heappop(queue)
-        if v in done:
-            continue
-        done[v] = d
-        for w, c in zip(to[first[v] : first[v + 1]].tolist(), cost[first[v] : first[v + 1]].tolist()):
-            if w not in done and d + c <= limit:
-                heapq.heappush(queue, (d + c, w))
-    done.pop(source)
-    return np.fromiter(done.keys(), np.int64, len(done)), np.fromiter(done.values(), float, len(done))
+class Search:
+    """Searches over adjacency arrays: first[v]..first[v+1] are the places of v's neighbours in `to` and `cost`."""
+
+    def __init__(self, first: np.ndarray, to: np.ndarray, cost: np.ndarray, unit: bool):
+        self.first, self.to, self.cost, self.unit = first, to, cost, unit
+        self.dist, self.before = np.full(len(first) - 1, np.inf), np.full(len(first) - 1, -1)
+
+    def _out(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all neighbours of the nodes, and whose they are."""
+        n = self.first[nodes + 1] - self.first[nodes]
+        whose = np.repeat(nodes, n)
+        return np.arange(len(whose)) + np.repeat(self.first[nodes] - np.cumsum(n) + n, n), whose
+
+    def reach(self, source: int, limit: float = np.inf, predecessors: bool = False):
+        """Nodes reached from source within limit, and their distances (and the node before each, the smallest of
+        equals, if asked). Whole frontiers are relaxed at a time; with unit costs each node is reached once."""
+        dist, touched, front = self.dist, [np.array([source])], np.array([source])
+        dist[source] = 0.0
+        while len(front):
+            place, whose = self._out(front)
+            to, d = self.to[place], dist[whose] + self.cost[place]
+            better = (d < dist[to]) & (d <= limit)
+            to, d = to[better], d[better]
+            np.minimum.at(dist, to, d)
+            front = np.unique(to)
+            touched.append(front)
+        nodes = np.unique(np.concatenate(touched))
+        nodes = nodes[nodes != source]
+        found = dist[nodes].copy()
+        if predecessors:
+            every = np.r_[source, nodes]
+            place, whose = self._out(every)
+            tight = dist[whose] + self.cost[place] == dist[self.to[place]]
+            before = np.full(len(dist), np.iinfo(np.int64).max)
+            np.minimum.at(before, self.to[place[tight]], whose[tight])
+        dist[nodes] = dist[source] = np.inf
+        return (nodes, found, before[nodes]) if predecessors else (nodes, found)
+
+    def nearest(self, source: int, k: int, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest nodes within limit, ties by id: the search ends with the k-th distance."""
+        done: dict[int, float] = {}
+        queue = [(0.0, source)]
+        while queue:
+            d, v = heapq.heappop(queue)
+            if v in done:
+                continue
+            if len(done) > k and d > last:
+                break
+            done[v] = last = d
+            lo, hi = self.first[v], self.first[v + 1]
+            for w, c in zip(self.to[lo:hi].tolist(), self.cost[lo:hi].tolist()):
+                if w not in done and d + c <= limit:
+                    heapq.heappush(queue, (d + c, w))
+        done.pop(source)
+        nodes, d = np.fromiter(done.keys(), np.int64, len(done)), np.fromiter(done.values(), float, len(done))
+        best = np.lexsort((nodes, d))[:k]
+        return nodes[best], d[best]
+
+
+# Fixed values of the hash that samples pairs; it is the same on arrays and in SQL.
+_PRIME, _A, _B, _C, _D = 2**31 - 1, 48271, 69621, 40692, 16807
+
+
+def _chance(src, dst, seed: int):
+    """A number below _PRIME for each pair (arrays or columns)."""
+    h = (src * _A + dst * _B + (seed * _C + 11)) % _PRIME
+    g = (h * h + _D) % _PRIME
+    return (g * g + h) % _PRIME
 
 
 def _kept(pairs: DataFrame, share: float, seed: int) -> DataFrame:
     if share >= 1:
         return pairs
-    return pairs.where(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return pairs.where(_chance(F.col("src").cast("bigint"), F.col("dst").cast("bigint"), seed) < int(share * _PRIME))
 
 
 def shortest_paths(graph: Graph, max_length: float | None = None, retain_fraction: float = 1.0, seed: int = 0, broadcast_edges: int = BROADCAST_EDGES) -> Graph:
@@ -63,40 +103,70 @@ def shortest_paths(graph: Graph, max_length: float | None = None, retain_fractio
     in number by nature; give max_length or retain_fraction to bound them.
     """
     edges = materialize(graph.edges)
-    stats = edges.agg(F.count("*"), F.min("weight"), F.max("weight"), F.max("dst")).first()
-    if stats[0] == 0:
-        return Graph(edges, graph.n_items)
-    if stats[1] < 0:
-        raise ValueError("weights must not be negative")
     limit = float("inf") if max_length is None else float(max_length)
-    if stats[0] > broadcast_edges:
+    arrays = adjacency(edges, broadcast_edges)
+    if arrays is None:
         return Graph(_kept(relax(edges, limit), retain_fraction, seed), graph.n_items)
-    local = edges.toPandas()  # at most broadcast_edges rows
-    n = int(stats[3]) + 1
-    src = np.r_[local["src"].to_numpy(), local["dst"].to_numpy()]
+    below = int(retain_fraction * _PRIME)
+
+    def pairs(find, s):
+        nodes, d = find.reach(s, limit)
+        later = (nodes > s) & (d > 0)
+        if retain_fraction < 1:
+            later &= _chance(np.int64(s), nodes, seed) < below
+        return nodes[later], d[later]
+
+    return Graph(_from_each(edges.sparkSession, arrays, pairs), graph.n_items)
+
+
+def adjacency(edges: DataFrame, most: int = BROADCAST_EDGES) -> tuple | None:
+    """first, to, cost and whether all costs are 1, of both directions; None for more than `most` edges. Negative
+    weights raise ValueError."""
+    n, low, high, last = edges.agg(F.count("*"), F.min("weight"), F.max("weight"), F.max("dst")).first()
+    if low is not None and low < 0:
+        raise ValueError("weights must not be negative")
+    if n > most:
+        return None
+    local = edges.select("src", "dst", "weight").toArrow()  # at most `most` rows, as columns: 24 bytes each
+    a, b, w = (local[c].to_numpy() for c in ("src", "dst", "weight"))
+    src = np.r_[a, b]
     order = np.argsort(src, kind="stable")
-    to = np.r_[local["dst"].to_numpy(), local["src"].to_numpy()][order]
-    cost = np.r_[local["weight"].to_numpy(), local["weight"].to_numpy()][order]
-    first = np.searchsorted(src[order], np.arange(n + 1))
-    unit = stats[1] == stats[2] == 1.0
-    spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast((first, to, cost))
+    first = np.searchsorted(src[order], np.arange((-1 if last is None else last) + 2))
+    return first, np.r_[b, a][order], np.r_[w, w][order], low == high == 1.0
+
+
+def _from_each(spark, arrays: tuple, find) -> DataFrame:
+    """(src, dst, weight) of find(Search, source) for every source, which are dealt round so that the long upper rows of
+    the triangle spread over tasks."""
+    shared = spark.sparkContext.broadcast(arrays)
 
     def run(batches):
-        first, to, cost = shared.value
+        search = Search(*shared.value)
         for b in batches:
             out = []
             for s in b["id"].tolist():
-                nodes, d = search(first, to, cost, s, limit, unit)
-                later = (nodes > s) & (d > 0)
-                out.append(pd.DataFrame({"src": np.full(later.sum(), s), "dst": nodes[later], "weight": d[later]}))
+                nodes, d = find(search, s)
+                out.append(pd.DataFrame({"src": np.full(len(nodes), s), "dst": nodes, "weight": d}))
             if out:
                 yield pd.concat(out)
 
+    n = len(arrays[0]) - 1
     parts = max(1, min(4 * spark.sparkContext.defaultParallelism, -(-n // 16)))
-    # sources are dealt round so that the long upper rows of the triangle spread over tasks
-    sources = spark.range(n).repartition(parts, F.xxhash64("id"))
-    return Graph(_kept(sources.mapInPandas(run, "src bigint, dst bigint, weight double"), retain_fraction, seed), graph.n_items)
+    return spark.range(n).repartition(parts, F.xxhash64("id")).mapInPandas(run, "src bigint, dst bigint, weight double")
+
+
+def search_tree(graph: Graph, source: int, max_length: float | None = None) -> DataFrame:
+    """(id, length, before): the nodes reached from source in order of length and id, and the node before each on a
+    shortest path. The graph's edges must fit a broadcast."""
+    edges = materialize(graph.edges)
+    arrays = adjacency(edges)
+    if arrays is None:
+        raise ValueError(f"more than {BROADCAST_EDGES} edges")
+    if not 0 <= source < len(arrays[0]) - 1:
+        return edges.sparkSession.createDataFrame([], "id bigint, length double, before bigint")
+    nodes, d, before = Search(*arrays).reach(source, float("inf") if max_length is None else max_length, predecessors=True)
+    order = np.lexsort((nodes, d))
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"id": nodes[order], "length": d[order], "before": before[order]}), "id bigint, length double, before bigint")
 
 
 def relax(edges: DataFrame, limit: float = float("inf")) -> DataFrame:
@@ -123,12 +193,16 @@ def graph_knn(graph: Graph, k: int, max_distance: float | None = None) -> DataFr
 
     A complete graph's own weights serve as lengths.
     """
-    near = graph.edges if graph.n_edges() == graph.n_all_edges() else shortest_paths(graph, max_distance).edges
-    both = Graph(near, graph.n_items).symmetric()
-    if max_distance is not None:
-        both = both.where(F.col("weight") <= max_distance)
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("weight", "dst"))
-    top = both.withColumn("rank", rank).where(F.col("rank") <= k)
+    edges = materialize(graph.edges)
+    limit = float("inf") if max_distance is None else float(max_distance)
+    full = edges.count() == graph.n_all_edges()
+    arrays = None if full else adjacency(edges)
+    if arrays is not None:
+        top = _from_each(edges.sparkSession, arrays, lambda find, s: find.nearest(s, k, limit))
+    else:
+        both = Graph(edges if full else relax(edges, limit), graph.n_items).symmetric().where(F.col("weight") <= limit)
+        rank = F.row_number().over(Window.partitionBy("src").orderBy("weight", "dst"))
+        top = both.withColumn("rank", rank).where(F.col("rank") <= k)
     return top.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions.kernels import Kernel
 from filigree.operators import diagnostics, distances
-from filigree.operators.pairs import n_pairs
+from filigree.operators.pairs import n_pairs, numbered
 from filigree.plans.constraints import Anchored, Centered, Constraint
 from filigree.plans.solver import LOCAL_EDGES, LocalObjective, SparkObjective, minimize, minimize_stochastic
 from filigree.plans.spectral import to_frame
@@ -102,15 +102,5 @@ def anchored(anchors: DataFrame) -> Anchored:
 
 
 def indexed_items(items: DataFrame, id_column: str = "id") -> DataFrame:
-    """items plus idx, 0..n-1 in id order, for the dense solver: partition counts give offsets, no single sort task."""
-    from pyspark.sql import Window
-
-    ranged = items.repartitionByRange(F.col(id_column)).sortWithinPartitions(id_column).withColumn("_p", F.spark_partition_id())
-    from filigree.session import materialize
-
-    fixed = materialize(ranged)
-    counts = fixed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(id_column)) - 1
-    return fixed.withColumn("_r", local).join(offsets, "_p").withColumn("idx", F.col("_r") + F.col("_from")).drop("_p", "_r", "_from")
+    """items plus idx, 0..n-1 in id order, for the dense solver."""
+    return numbered(items, id_column)

@@ -377,9 +377,13 @@ def _standing_points(spark, d):
     return rows.select("id", F.col("r.x").alias("x"))
 
 
-@query(f"WITH {_STANDING_POINTS} SELECT l.id, round(coalesce(a.x, l.x)[1], 6) AS x1, round(coalesce(a.x, l.x)[2], 6) AS x2 FROM last l LEFT JOIN anchors a USING (id)")
+_NUMBER = "CASE WHEN isnan({0}) THEN NULL ELSE round({0}, 6) END"
+
+
+@query(f"WITH {_STANDING_POINTS} SELECT l.id, {_NUMBER.format('coalesce(a.x, l.x)[1]')} AS x1, {_NUMBER.format('coalesce(a.x, l.x)[2]')} AS x2 FROM last l LEFT JOIN anchors a USING (id)")
 def anchor_apply(spark, d):
-    return _flat(transform.pin(_standing_points(spark, d), read(spark, d, "anchors")), 2)
+    pinned = _flat(transform.pin(_standing_points(spark, d), read(spark, d, "anchors")), 2)
+    return pinned.select("id", *(F.nullif(c, F.lit(float("nan"))).alias(c) for c in ("x1", "x2")))  # Spark's NaN equals itself
 
 
 @query(

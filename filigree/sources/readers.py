@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.operators.graph import Graph
+from filigree.operators.pairs import numbered
 
 ROWS_PER_TASK = 50_000
 
@@ -104,11 +105,14 @@ def read_idx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_matrix(spark: SparkSession, path: str, columns: list[str] | None = None, id_column: str | None = None) -> DataFrame:
-    """(id, x) of the numeric columns of a CSV with a header; columns that are no number are null there."""
+    """(id, x) of the numeric columns of a CSV with a header; columns that are no number are null there. Without an id
+    column, ids are 0..n-1 in the order of the file."""
     table = spark.read.csv(path, header=True, inferSchema=True)
     columns = columns or [c for c, t in table.dtypes if t in ("int", "bigint", "double", "float") and c != id_column]
-    key = F.col(id_column).cast("bigint") if id_column else F.monotonically_increasing_id()
-    return table.select(key.alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    x = F.array(*(F.col(c).cast("double") for c in columns)).alias("x")
+    if id_column:
+        return table.select(F.col(id_column).cast("bigint").alias("id"), x)
+    return numbered(table.select(F.monotonically_increasing_id().alias("_at"), x), "_at").select(F.col("idx").alias("id"), "x")
 
 
 def dense_matrix(spark: SparkSession, array: np.ndarray) -> DataFrame:
