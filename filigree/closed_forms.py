@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filigree.functions import kernels as K
 from filigree.operators import distances, knn, paths, transform
 from filigree.operators.graph import Graph, above, incidence
-from filigree.plans import recipes
+from filigree.plans import recipes, solver
 from filigree.plans import spectral as spectral_plans
 from filigree.plans.constraints import Anchored, Sphere, Standardized
 from filigree.plans.problem import MDE
@@ -302,3 +302,65 @@ def gradient_without_some_points(spark, d):
     e = _edges(spark, d).withColumn("weight", F.lit(1.0))
     g = distances.gradient(e, _points(spark, d).where("id % 3 > 0"), K.quadratic())
     return g.select("id", _r(F.element_at("gradient", 1)).alias("g1"), _r(F.element_at("gradient", 2)).alias("g2"))
+
+
+_PAIR = "w AS (SELECT src, dst, d, u, 0.5 + (src % 5) / 4.0 AS k FROM g)"
+
+
+def _given(spark, d, kernel):
+    """Losses with a weight of its own for each pair, beside the deviation."""
+    e = _edges(spark, d).select("src", "dst", F.struct((F.lit(0.2) + (F.col("src") + F.col("dst")) % 7 * 0.2).alias("deviation"), (F.lit(0.5) + F.col("src") % 5 / 4.0).alias("weight")).alias("weight"))
+    return distances.distortions(e, _points(spark, d), kernel).select("src", "dst", _r("distortion").alias("distortion"))
+
+
+@query(f"WITH {_KNN}, {_PAIR} SELECT src, dst, round(k * pow(d - u, 2), 6) AS distortion FROM w")
+def loss_weighted_quadratic_given(spark, d):
+    return _given(spark, d, K.loss_weighted_quadratic(given=True))
+
+
+@query(f"WITH {_KNN}, {_PAIR} SELECT src, dst, round(k * pow(abs(d - u), 1.5), 6) AS distortion FROM w")
+def loss_weighted_power_given(spark, d):
+    return _given(spark, d, K.loss_weighted_power(1.5, given=True))
+
+
+@query(f"WITH {_KNN} SELECT src, dst, round(w * ln(1 + pow(d, 1.5)), 6) AS value, round(w * d * abs(d - 1), 6) AS own FROM g")
+def kernels_in_sql(spark, d):
+    """A kernel, and a user function of distance and weight, called from SQL."""
+    K.register(spark, "filigree_log1p", K.log1p())
+    K.register(spark, "filigree_own", K.custom(lambda x, w: w * x * np.abs(x - 1)))
+    e = distances.with_distance(_edges(spark, d), _points(spark, d)).withColumn("w", ((F.col("src") * 7 + F.col("dst") * 3) % 11 - 5) / 2.0)
+    return e.selectExpr("src", "dst", "round(filigree_log1p(distance, w), 6) + 0.0D AS value", "round(filigree_own(distance, w), 6) + 0.0D AS own")
+
+
+@query("SELECT round(2.0 * 2 * 2 * (count(*) - 1) / (count(*) - 1), 4)::DOUBLE AS trace FROM supplier")
+def curvature_trace(spark, d):
+    """The trace of the second derivative of a chain's mean squared length: 2 / p times that of its Laplacian, for each
+    of two coordinates. With as many products as numbers the estimate is exact."""
+    edges, n = _chain(spark, d)
+    free = Anchored(np.zeros(0, np.int64), np.zeros((0, 2)))
+    objective = MDE(n, 2, edges, K.quadratic()).objective()
+    product = solver.hessian_product(objective, free, np.random.default_rng(0).standard_normal((n, 2)))
+    return spark.createDataFrame([(round(solver.trace_estimate(product, (n, 2), 6 * n), 4),)], "trace double")
+
+
+@query("SELECT count(*) AS items, true AS refused, true AS even FROM supplier")
+def embed_sampled_pairs(spark, d):
+    """A problem without edges, whose function samples the pairs of a chain: the ends are pinned, and the others come to
+    lie evenly between them."""
+    n = _suppliers(spark, d).count()
+
+    def sampler(size, rng):
+        a = rng.choice(n - 1, min(size, n - 1), replace=False)
+        return a, a + 1, np.ones(len(a))
+
+    pins = Anchored(np.array([0, n - 1]), np.array([[0.0], [1.0]]))
+    try:
+        MDE(n, 1, None, K.quadratic(), pins)
+        refused = False
+    except ValueError:
+        refused = True
+    start = np.linspace(0, 1, n)[:, None] + 0.01 * np.random.default_rng(0).standard_normal((n, 1))
+    problem = MDE(n, 1, None, solver.Stochastic(K.quadratic(), sampler, 4 * n), pins, start)
+    x = problem.embed(max_iter=40, eps=1e-9)
+    off = np.abs(problem.block[:, 0] - np.linspace(0, 1, n)).max()
+    return x.agg(F.count("*").alias("items"), F.lit(refused).alias("refused"), F.lit(bool(off < 0.02)).alias("even"))

@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +31,10 @@ class _Arrays:
     def div(a, b):
         return a / b
 
+    @staticmethod
+    def pair(w):
+        return w[..., 0], w[..., 1]
+
 
 class _Columns:
     """As arrays do: a division by zero gives infinity or not a number, a logarithm of zero minus infinity; Spark's own
@@ -41,6 +46,10 @@ class _Columns:
     def _col(x):
         return x if isinstance(x, Column) else F.lit(float(x))
 
+    @staticmethod
+    def pair(w):
+        return w["deviation"], w["weight"]
+
     @classmethod
     def max(cls, a, b):
         return F.greatest(cls._col(a), cls._col(b))
@@ -69,13 +78,15 @@ class _Columns:
 
 @dataclass(frozen=True)
 class Kernel:
-    """f(d, w) and df/dd. parts: kernels that this one chooses between; check: raises on weights it can't take."""
+    """f(d, w) and df/dd. check: raises on weights it can't take. paired: w is a deviation and a weight, as a struct
+    column of these names or an array of two columns."""
 
     name: str
     on: str
     f: Callable[..., Any]
     slope_: Callable[..., Any]
     check: Callable[[np.ndarray], None] = field(default=lambda w: None)
+    paired: bool = False
 
     def column(self, d: Column, w: Column) -> Column:
         return self.f(_Columns, d, w)
@@ -96,21 +107,34 @@ class Kernel:
 
 
 def custom(value: Callable, slope: Callable | None = None, on: str = "weight", name: str = "custom") -> Kernel:
-    """A kernel from NumPy functions of (d, w); without a slope, central differences serve. It has no Column form."""
+    """A kernel from NumPy functions of (d, w); without a slope, central differences serve. As a Column it is a
+    vectorised user function over Arrow batches."""
 
     def numeric(d, w):
         h = 1e-6 * np.maximum(1.0, np.abs(d))
         return (value(d + h, w) - value(np.maximum(d - h, 0.0), w)) / (d + h - np.maximum(d - h, 0.0))
 
-    def arrays_only(g):
+    def either(g):
         def run(m, d, w):
-            if m is not _Arrays:
-                raise TypeError("a custom kernel runs on arrays only")
-            return g(d, w)
+            return g(d, w) if m is _Arrays else _batched(g)(d, w)
 
         return run
 
-    return Kernel(name, on, arrays_only(value), arrays_only(slope or numeric))
+    return Kernel(name, on, either(value), either(slope or numeric))
+
+
+def _batched(g: Callable):
+    def on_batches(d: pd.Series, w: pd.Series) -> pd.Series:
+        with np.errstate(all="ignore"):
+            return pd.Series(g(d.to_numpy(float), w.to_numpy(float)))
+
+    return F.pandas_udf(on_batches, "double")
+
+
+def register(spark: SparkSession, name: str, kernel: Kernel) -> None:
+    """Make a kernel a SQL function of (distance, weight), and its slope one called `name`_slope."""
+    spark.udf.register(name, _batched(kernel.value))
+    spark.udf.register(f"{name}_slope", _batched(kernel.slope))
 
 
 def _softplus(m, z):
@@ -238,8 +262,23 @@ def loss_quadratic() -> Kernel:
     return Kernel("quadratic", "deviation", lambda m, d, u: (d - u) * (d - u), lambda m, d, u: 2.0 * (d - u))
 
 
-def loss_weighted_quadratic() -> Kernel:
-    """Weighted by 1 over the squared deviation."""
+def _given(kernel: Kernel) -> Kernel:
+    """A loss times a weight of its own for each pair."""
+
+    def times(g):
+        def run(m, d, w):
+            u, weight = m.pair(w)
+            return weight * g(m, d, u)
+
+        return run
+
+    return Kernel(kernel.name, kernel.on, times(kernel.f), times(kernel.slope_), paired=True)
+
+
+def loss_weighted_quadratic(given: bool = False) -> Kernel:
+    """Weighted by 1 over the squared deviation, or by given weights (Kernel.paired)."""
+    if given:
+        return _given(loss_quadratic())
     return Kernel("weighted_quadratic", "deviation", lambda m, d, u: m.div((d - u) * (d - u), u * u), lambda m, d, u: m.div(2.0 * (d - u), u * u))
 
 
@@ -291,7 +330,10 @@ def loss_clipped_quadratic(threshold: float) -> Kernel:
     return Kernel("clipped_quadratic", "deviation", lambda m, d, u: m.min((d - u) * (d - u), top), lambda m, d, u: m.where((d - u) * (d - u) < top, 2.0 * (d - u), 0.0))
 
 
-def loss_weighted_power(exponent: float) -> Kernel:
+def loss_weighted_power(exponent: float, given: bool = False) -> Kernel:
+    """Weighted as loss_weighted_quadratic."""
+    if given:
+        return _given(loss_power(exponent))
     e = exponent
     return Kernel(
         "weighted_power", "deviation", lambda m, d, u: m.div(m.pow(m.abs(d - u), e), u * u), lambda m, d, u: m.div(e * m.pow(m.abs(d - u), e - 1) * m.sign(d - u), u * u)

@@ -3,26 +3,38 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.functions.kernels import Kernel
 from filigree.operators import diagnostics, distances
 from filigree.operators.pairs import n_pairs, numbered
 from filigree.plans.constraints import Anchored, Centered, Constraint
-from filigree.plans.solver import LOCAL_EDGES, LocalObjective, SparkObjective, minimize, minimize_stochastic
+from filigree.plans.solver import LOCAL_EDGES, LocalObjective, SparkObjective, Stochastic, minimize, minimize_stochastic, weight_columns, weights
 from filigree.plans.spectral import to_frame
+from filigree.session import materialize
 
 
 class MDE:
-    """edges: (src, dst, weight), ids 0..n_items-1; weight is the kernel's weight or deviation.
+    """edges: (src, dst, weight), ids 0..n_items-1; weight is the kernel's weight or deviation (or a struct of both, if
+    it is paired).
 
-    Self edges and more edges than pairs raise ValueError.
+    Self edges and more edges than pairs raise ValueError. edges may be None only with a Stochastic, which samples its
+    own; then embed() needs no batch size, and there is nothing to measure on all edges.
     """
 
-    def __init__(self, n_items: int, embedding_dim: int, edges: DataFrame, kernel: Kernel, constraint: Constraint | None = None, initial: np.ndarray | None = None):
+    def __init__(self, n_items: int, embedding_dim: int, edges: DataFrame | None, kernel: Kernel | Stochastic, constraint: Constraint | None = None, initial: np.ndarray | None = None):
         self.n_items, self.embedding_dim, self.kernel = n_items, embedding_dim, kernel
         self.edges, self.constraint, self.initial = edges, constraint or Centered(), initial
+        self.X: DataFrame | None = None
+        self.block: np.ndarray | None = None
+        self.stats = None
+        self.value = self.residual_norm = None
+        if edges is None:
+            if not isinstance(kernel, Stochastic):
+                raise ValueError("without edges the function must be a Stochastic")
+            self.spark, self.p = SparkSession.getActiveSession(), 0
+            return
         self.spark = edges.sparkSession
         loops = edges.where("src = dst").limit(5).collect()
         if loops:
@@ -30,17 +42,31 @@ class MDE:
         self.p = edges.count()
         if self.p > n_pairs(n_items):
             raise ValueError(f"{self.p} edges, but {n_items} items have {n_pairs(n_items)} pairs")
-        self.X: DataFrame | None = None
-        self.block: np.ndarray | None = None
-        self.stats = None
-        self.value = self.residual_norm = None
 
     def __str__(self) -> str:
         return f"MDE of {self.n_items} items in {self.embedding_dim} dimensions, {self.p} edges, {self.kernel.name}, {self.constraint.name}"
 
-    def _arrays(self):
-        e = self.edges.select("src", "dst", "weight").toArrow()  # at most LOCAL_EDGES rows; as columns, not Row objects
-        return e["src"].to_numpy().astype(np.int64), e["dst"].to_numpy().astype(np.int64), e["weight"].to_numpy().astype(float)
+    def _arrays(self, edges: DataFrame | None = None):
+        """Columns of the edges (at most LOCAL_EDGES, or a batch of about the size asked)."""
+        e = (self.edges if edges is None else edges).select("src", "dst", *weight_columns(self.kernel)).toArrow()
+        w = np.column_stack([e.column(k).to_numpy().astype(float) for k in range(2, e.num_columns)])
+        return e["src"].to_numpy().astype(np.int64), e["dst"].to_numpy().astype(np.int64), weights(w)
+
+    def _batches(self, size: int, seed: int) -> Stochastic:
+        """Batches of the problem's own edges: drawn from arrays, or, where there are too many for the driver, parts of
+        a table cut by a hash, in turn."""
+        if self.p <= LOCAL_EDGES:
+            src, dst, w = self._arrays()
+
+            def draw(n, rng):
+                pick = rng.choice(len(src), size=min(n, len(src)), replace=False)
+                return src[pick], dst[pick], w[pick]
+
+            return Stochastic(self.kernel, draw, size)
+        parts, turn = -(-self.p // size), iter(range(1 << 60))
+        part = F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(parts)).cast("int")
+        cut = materialize(self.edges.withColumn("_part", part).repartition("_part").sortWithinPartitions("_part"))
+        return Stochastic(self.kernel, lambda n, rng: self._arrays(cut.where(F.col("_part") == next(turn) % parts)), size)
 
     def objective(self, local: bool | None = None):
         local = self.p <= LOCAL_EDGES if local is None else local
@@ -55,8 +81,9 @@ class MDE:
             X = np.stack(rows["x"].to_numpy()).astype(float)
         rng = np.random.default_rng(seed)
         start = X if X is not None else self.initial if self.initial is not None else self.constraint.initial(self.n_items, self.embedding_dim, rng)
-        if batch_size:
-            self.block, self.stats = minimize_stochastic(self._arrays(), self.kernel, self.constraint, start, batch_size, seed=seed)
+        if batch_size or self.edges is None:
+            function = self.kernel if self.edges is None else self._batches(batch_size, seed)
+            self.block, self.stats = minimize_stochastic(function, self.constraint, start, max_iter, eps, memory_size, seed=seed, snapshot_every=snapshot_every)
         else:
             self.block, self.stats = minimize(self.objective(local), self.constraint, start, eps, max_iter, memory_size, snapshot_every, print_every)
         self.value, self.residual_norm = self.stats.average_distortions[-1], self.stats.residual_norms[-1]

@@ -103,6 +103,15 @@ def preserve_neighbors(
     return MDE(n, embedding_dim, edges, kernel, constraint, start)
 
 
+def original_distances(data: DataFrame | Graph, retain_fraction: float = 1.0, seed: int = 0) -> Graph:
+    """The graph of original distances: Euclidean between items (id 0..n-1, x), path lengths in a Graph; or of a sample
+    of that share of the pairs."""
+    if isinstance(data, Graph):
+        return shortest_paths(data, None, retain_fraction, seed)
+    edges = pairwise(data.sparkSession, data, retain_fraction, seed).withColumnRenamed("distance", "weight")
+    return Graph(edges.select("src", "dst", "weight"), data.count())
+
+
 def preserve_distances(data: DataFrame | Graph, embedding_dim: int = 2, loss: K.Kernel | None = None, constraint: Constraint | None = None, max_distances: float = 5e7, seed: int = 0) -> MDE:
     """Embedding distances near the original ones; at most about max_distances pairs are sampled."""
     loss, constraint = loss or K.loss_absolute(), constraint or Centered()
@@ -111,11 +120,7 @@ def preserve_distances(data: DataFrame | Graph, embedding_dim: int = 2, loss: K.
     if n <= 1:
         raise ValueError("at least two items are needed")
     share = min(1.0, max_distances / P.n_pairs(n))
-    if graph:
-        edges = shortest_paths(data, None, share, seed).edges
-    else:
-        edges = pairwise(data.sparkSession, data, share, seed).withColumnRenamed("distance", "weight")
-    edges = materialize(edges.select("src", "dst", "weight"))
+    edges = materialize(original_distances(data, share, seed).edges)
     if isinstance(constraint, Standardized):
         edges = materialize(scale(edges, "weight", natural_length(n, embedding_dim)))
     edges = _anchor_filter(edges, constraint)

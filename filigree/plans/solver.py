@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -77,6 +78,15 @@ def evaluate(x, src, dst, w, kernel: Kernel, p: int) -> tuple[float, np.ndarray]
     return total / p, np.ascontiguousarray(g.T)
 
 
+def weight_columns(kernel: Kernel) -> list[str]:
+    return ["weight.deviation", "weight.weight"] if kernel.paired else ["weight"]
+
+
+def weights(columns: np.ndarray) -> np.ndarray:
+    """One weight a pair as a vector, pairs of them as two columns."""
+    return columns[:, 0] if columns.shape[1] == 1 else columns
+
+
 class LocalObjective:
     def __init__(self, src, dst, w, kernel: Kernel):
         self.src, self.dst, self.w, self.kernel = np.asarray(src, np.int64), np.asarray(dst, np.int64), np.asarray(w, float), kernel
@@ -96,9 +106,10 @@ class SparkObjective:
 
         def pack(batches):
             for b in batches:
-                yield pd.DataFrame({"n": [len(b)], "src": [b["src"].to_numpy(np.int64).tobytes()], "dst": [b["dst"].to_numpy(np.int64).tobytes()], "w": [b["weight"].to_numpy(float).tobytes()]})
+                w = np.ascontiguousarray(b[[c for c in b.columns if c not in ("src", "dst")]].to_numpy(float))
+                yield pd.DataFrame({"n": [len(b)], "src": [b["src"].to_numpy(np.int64).tobytes()], "dst": [b["dst"].to_numpy(np.int64).tobytes()], "w": [w.tobytes()]})
 
-        self.blocks = materialize(edges.select("src", "dst", "weight").mapInPandas(pack, "n int, src binary, dst binary, w binary"))
+        self.blocks = materialize(edges.select("src", "dst", *weight_columns(kernel)).mapInPandas(pack, "n int, src binary, dst binary, w binary"))
         self.p = max(1, self.blocks.agg(F.sum("n")).first()[0] or 0)
 
     def __call__(self, x):
@@ -109,7 +120,7 @@ class SparkObjective:
             total, value = np.zeros_like(x), 0.0
             for b in batches:
                 for r in b.itertuples(index=False):
-                    f, g = evaluate(x, np.frombuffer(r.src, np.int64), np.frombuffer(r.dst, np.int64), np.frombuffer(r.w, float), kernel, p)
+                    f, g = evaluate(x, np.frombuffer(r.src, np.int64), np.frombuffer(r.dst, np.int64), weights(np.frombuffer(r.w, float).reshape(r.n, -1)), kernel, p)
                     value += f
                     total += g
             yield pd.DataFrame({"chunk": [-1], "g": [np.array([value]).tobytes()]})
@@ -267,28 +278,75 @@ def minimize(objective, constraint, x: np.ndarray, eps=1e-5, max_iter=300, memor
     return x, stats
 
 
-def minimize_stochastic(edges, kernel: Kernel, constraint, x, batch: int, rounds: int = 20, inner: int = 20, seed: int = 0, pull: float = 0.1):
-    """Stochastic proximal rounds: each draws a batch of edges and minimises its distortion plus a pull towards the
-    last iterate that grows with the round. edges: arrays (src, dst, weight)."""
-    src, dst, w = edges
+def hessian_product(objective, constraint, x: np.ndarray):
+    """v -> second derivative of the objective at x times v, both projected to the tangent space; v is a block like x.
+    The gradient's central difference along v serves, which is exact for quadratics."""
+
+    def product(v: np.ndarray) -> np.ndarray:
+        v = constraint.tangent(x, v)
+        h = 1e-4 * max(1.0, float(np.abs(x).max())) / max(float(np.abs(v).max()), 1e-300)
+        return constraint.tangent(x, (objective(x + h * v)[1] - objective(x - h * v)[1]) / (2 * h))
+
+    return product
+
+
+def trace_estimate(product, shape: tuple[int, ...], queries: int = 10, seed: int = 0) -> float:
+    """Trace of a symmetric operator on blocks of the given shape: exact on the range of a few products with random
+    blocks, and estimated by random signs on the rest (at most `queries` products, a third for each step)."""
+    rng, each = np.random.default_rng(seed), max(1, queries // 3)
+    size = int(np.prod(shape))
+    apply = lambda cols: np.column_stack([product(c.reshape(shape)).ravel() for c in cols.T])
+    each = min(each, size)
+    basis = np.linalg.qr(apply(rng.choice([-1.0, 1.0], (size, each))))[0]
+    rest = rng.choice([-1.0, 1.0], (size, each))
+    rest -= basis @ (basis.T @ rest)
+    return float((basis * apply(basis)).sum() + (rest * apply(rest)).sum() / each)
+
+
+@dataclass(frozen=True)
+class Stochastic:
+    """A distortion of sampled pairs: sampler(batch size, generator) gives arrays src, dst, weight."""
+
+    kernel: Kernel
+    sampler: Callable[[int, np.random.Generator], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    batch_size: int
+    name: str = "stochastic"
+
+
+def minimize_stochastic(function: Stochastic, constraint, x, max_iter: int = 300, eps: float = 1e-5, memory_size: int = 10, inner: int = 20, seed: int = 0, snapshot_every=None):
+    """Stochastic proximal rounds: each draws a batch of pairs and minimises its distortion plus a pull towards the last
+    iterate that grows with the round, its size a tenth of the mean curvature after the first round (trace_estimate).
+    Rounds end when an iterate moves by no more than eps of its size. A batch that cannot be solved is passed over."""
     rng, stats, began = np.random.default_rng(seed), SolveStats(), time.time()
-    x = constraint.project(x)
-    for k in range(rounds):
-        pick = rng.choice(len(src), size=min(batch, len(src)), replace=False)
-        local, last = LocalObjective(src[pick], dst[pick], w[pick], kernel), x
-        weight = pull * (k + 1) / 2
+    x, pull = constraint.project(x), 0.0
+    for k in range(max_iter):
+        if snapshot_every and k % snapshot_every == 0:
+            stats.snapshots.append((k, x.copy()))
+        local, last = LocalObjective(*function.sampler(function.batch_size, rng), function.kernel), x
+        weight = pull * k / 2
 
         def near(z, local=local, last=last, weight=weight):
             f, g = local(z)
-            return f + weight * float(((z - last) ** 2).sum()) / len(z), g + 2 * weight * (z - last) / len(z)
-
-        x, _ = minimize(near, constraint, last, max_iter=inner)
+            return f + weight * float(((z - last) ** 2).sum()), g + 2 * weight * (z - last)
+
+        try:
+            x, _ = minimize(near, constraint, last, eps=eps, max_iter=inner, memory_size=memory_size)
+        except SolverError as e:
+            log.warning("round %d passed over: %s", k, e)
+        if not np.isfinite(x).all():
+            x = last
+            break
         f, g = local(x)
+        if k == 0:
+            pull = max(0.0, trace_estimate(hessian_product(local, constraint, x), x.shape, seed=seed)) / x.size / 10
+        moved = float(np.linalg.norm(x - last)) / max(float(np.linalg.norm(last)), 1e-300)
         stats.average_distortions.append(f)
-        stats.residual_norms.append(float(np.linalg.norm(g)))
-        stats.step_percents.append(100 * float(np.linalg.norm(x - last)) / max(float(np.linalg.norm(last)), 1e-300))
+        stats.residual_norms.append(float(np.linalg.norm(constraint.tangent(x, g))))
+        stats.step_percents.append(100 * moved)
         stats.times.append(time.time() - began)
-    stats.iterations, stats.solve_time = rounds, time.time() - began
+        if k and moved <= eps:
+            break
+    stats.iterations, stats.solve_time = len(stats.times), time.time() - began
     return x, stats
 
 

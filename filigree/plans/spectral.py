@@ -88,10 +88,10 @@ def smallest(times, degree: np.ndarray, count: int, seed: int = 0, max_iter: int
     return w[:count], x[:, :count]
 
 
-def spectral_block(src, dst, w, n: int, m: int, seed: int = 0) -> np.ndarray:
+def spectral_block(src, dst, w, n: int, m: int, seed: int = 0, dense: int | None = None, max_iter: int = 400) -> np.ndarray:
     """(n, m) block: eigenvectors of the m smallest Laplacian eigenvalues after the first, centred and standardised."""
     degree = np.bincount(src, w, n) + np.bincount(dst, w, n)
-    if n <= DENSE_ITEMS:
+    if n <= (DENSE_ITEMS if dense is None else dense):
         lap = np.diag(degree)
         np.subtract.at(lap, (src, dst), w)
         np.subtract.at(lap, (dst, src), w)
@@ -104,12 +104,12 @@ def spectral_block(src, dst, w, n: int, m: int, seed: int = 0) -> np.ndarray:
                 out[:, k] -= np.bincount(src, w * v[dst, k], n) + np.bincount(dst, w * v[src, k], n)
             return out
 
-        x = smallest(times, degree, m, seed)[1]
+        x = smallest(times, degree, m, seed, max_iter)[1]
     x = x * np.sign(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])])
     return Standardized().project(x)
 
 
-def spectral_start(edges: DataFrame, n: int, m: int, seed: int = 0, local_edges: int | None = None) -> np.ndarray:
+def spectral_start(edges: DataFrame, n: int, m: int, seed: int = 0, local_edges: int | None = None, dense: int | None = None, max_iter: int = 400) -> np.ndarray:
     """spectral_block() of an edge table (src, dst, weight).
 
     Edges beyond local_edges stay in Spark: a product with the Laplacian is then half the number of edges times the
@@ -121,18 +121,23 @@ def spectral_start(edges: DataFrame, n: int, m: int, seed: int = 0, local_edges:
 
     if edges.count() <= (LOCAL_EDGES if local_edges is None else local_edges):
         e = edges.select("src", "dst", "weight").toPandas()
-        return spectral_block(e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["weight"].to_numpy(float), n, m, seed)
+        return spectral_block(e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), e["weight"].to_numpy(float), n, m, seed, dense, max_iter)
     product = SparkObjective(edges, quadratic(), n, 3 * (m + 4))
     degree = np.zeros(n)
     rows = Graph(edges, n).degrees().select("id", "strength").toPandas()
     degree[rows["id"].to_numpy(np.int64)] = rows["strength"].to_numpy()
-    x = smallest(lambda v: product(np.ascontiguousarray(v))[1] * product.p / 2, degree, m, seed)[1]
+    x = smallest(lambda v: product(np.ascontiguousarray(v))[1] * product.p / 2, degree, m, seed, max_iter)[1]
     return Standardized().project(x * np.sign(x[np.abs(x).argmax(axis=0), np.arange(m)]))
 
 
-def spectral(graph: Graph, m: int, seed: int = 0) -> DataFrame:
-    """(id, x) of spectral_block(); of a graph in several parts, further null vectors are coordinates."""
-    return to_frame(graph.edges.sparkSession, spectral_start(graph.edges, graph.n_items, m, seed))
+def spectral(graph: Graph, m: int, seed: int = 0, method: str = "auto", max_iter: int = 400) -> DataFrame:
+    """(id, x) of spectral_block(); of a graph in several parts, further null vectors are coordinates. method: "dense"
+    decomposes the whole matrix, "iterative" runs at most max_iter rounds of conjugate directions, "auto" takes the
+    former up to DENSE_ITEMS items."""
+    if method not in ("auto", "dense", "iterative"):
+        raise ValueError("method is 'auto', 'dense' or 'iterative'")
+    dense = {"auto": None, "dense": graph.n_items, "iterative": 0}[method]
+    return to_frame(graph.edges.sparkSession, spectral_start(graph.edges, graph.n_items, m, seed, dense=dense, max_iter=max_iter))
 
 
 def to_frame(spark, x: np.ndarray) -> DataFrame:

@@ -145,21 +145,110 @@ def graph_dataset(spark: SparkSession, npz: str, attributes: dict[str, str], nam
 
 def matrix_dataset(spark: SparkSession, path: str, attributes: dict[str, str], name: str) -> Dataset:
     """A matrix in .npy or .csv with attributes in .npy or .csv files."""
-    load = lambda p: read_npy(spark, p) if p.endswith(".npy") else read_csv_matrix(spark, p)
-    return Dataset(load(path), {k: load(p) for k, p in attributes.items()}, metadata={"name": name})
+    data = read_npy(spark, path) if path.endswith(".npy") else read_csv_matrix(spark, path)
+    load = lambda p: read_npy(spark, p) if p.endswith(".npy") else read_csv_attribute(spark, p)
+    return Dataset(data, {k: load(p) for k, p in attributes.items()}, metadata={"name": name})
+
+
+def mnist(spark: SparkSession, root: str) -> Dataset:
+    return images(spark, f"{root}/MNIST/raw", "mnist", "digits")
+
+
+def fashion_mnist(spark: SparkSession, root: str) -> Dataset:
+    return images(spark, f"{root}/FashionMNIST/raw", "fashion_mnist", "class")
+
+
+def google_scholar(spark: SparkSession, root: str, full: bool = False) -> Dataset:
+    """Co-author graph. Tables beside it must be Parquet, as pickles are not loaded: scholar_df with column
+    coauthors_pct in the order of the nodes, and, unless full, scholar_disciplines_df."""
+    at = f"{root}/scholar"
+    names = ["scholar_df", *([] if full else ["scholar_disciplines_df"])]
+    need(f"{at}/scholar_graph.npz", *(f"{at}/{n}.parquet" for n in names))
+    tables = {n: spark.read.parquet(f"{at}/{n}.parquet") for n in names}
+    people = numbered(tables["scholar_df"].withColumn("_at", F.monotonically_increasing_id()), "_at")
+    other = {} if full else {"dataframe": tables["scholar_df"], "disciplines": tables["scholar_disciplines_df"]}
+    coauthors = people.select(F.col("idx").alias("id"), F.col("coauthors_pct").alias("value"))
+    return Dataset(read_npz_graph(spark, f"{at}/scholar_graph.npz"), {"coauthors": coauthors}, other, {"name": "google_scholar"})
+
+
+def google_scholar_interests(spark: SparkSession, root: str) -> Dataset:
+    """Graph of topics by co-occurrence; interests as .npy, as pickles are not loaded."""
+    return graph_dataset(spark, f"{root}/interests/topic_cooccurrence_matrix.npz", {"interests": f"{root}/interests/interests.npy"}, "google_scholar_interests")
+
+
+def covid19_scrna_wilk(spark: SparkSession, root: str) -> Dataset:
+    at = f"{root}/scrna_covid19_wilk"
+    labels = {"cell_type": f"{at}/scrna_cell_type_attr.npy", "health_status": f"{at}/scrna_health_status_attr.npy"}
+    return matrix_dataset(spark, f"{at}/scrna_data_matrix.npy", labels, "covid19_scrna_wilk")
+
+
+def population_genetics(spark: SparkSession, root: str) -> Dataset:
+    """The clean rows, their colours and those of the corrupted rows, which are in other_data."""
+    at = f"{root}/population_genetics"
+    need(*(f"{at}/{n}.csv" for n in ("data", "corrupted_data", "data_colors", "corrupted_colors")))
+    colours = {"clean_colors": f"{at}/data_colors.csv", "corrupted_colors": f"{at}/corrupted_colors.csv"}
+    out = matrix_dataset(spark, f"{at}/data.csv", colours, "population_genetics")
+    out.other_data["corrupted_data"] = read_csv_matrix(spark, f"{at}/corrupted_data.csv")
+    return out
+
+
+def counties(spark: SparkSession, root: str) -> Dataset:
+    """County features and the share of a party; the tables they were made from are in other_data."""
+    at = f"{root}/counties"
+    tables = {"county_dataframe": f"{at}/acs2017_county_data.csv", "voting_dataframe": f"{at}/2016_US_County_Level_Presidential_Results.csv"}
+    need(f"{at}/county_data.npy", f"{at}/democratic_fraction.npy", *tables.values())
+    out = matrix_dataset(spark, f"{at}/county_data.npy", {"democratic_fraction": f"{at}/democratic_fraction.npy"}, "counties")
+    out.other_data.update({k: spark.read.csv(p, header=True, inferSchema=True) for k, p in tables.items()})
+    return out
+
+
+def read_csv_attribute(spark: SparkSession, path: str) -> DataFrame:
+    """(id, value) of a CSV with a header: its one column, or an array of all."""
+    table = spark.read.csv(path, header=True, inferSchema=True)
+    value = F.col(table.columns[0]) if len(table.columns) == 1 else F.array(*(F.col(c) for c in table.columns))
+    return numbered(table.select(F.monotonically_increasing_id().alias("_at"), value.alias("value")), "_at").select(F.col("idx").alias("id"), "value")
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.format(kind).save(path)
 
 
-def render(points: DataFrame, path: str, color: str | None = None, limit: int = 200_000) -> None:
-    """A scatter plot of a plot frame, where matplotlib is there; at most `limit` points, by hash."""
+def _pyplot():
     try:
         import matplotlib.pyplot as plt
     except ImportError as e:
         raise RuntimeError("matplotlib is not installed; use the plot frame") from e
+    return plt
+
+
+def render(points: DataFrame, path: str, color: str | None = None, limit: int = 200_000, edges: DataFrame | None = None, axis_limits: tuple[float, float] | None = None, three: bool = False) -> None:
+    """A scatter plot of a plot frame, where matplotlib is there; at most `limit` points, by hash. color: a column of
+    labels, numbers or (red, green, blue, alpha) arrays; edges: segments of the plot frame, drawn below the points."""
+    plt = _pyplot()
     rows = points.orderBy(F.xxhash64("id")).limit(limit).toPandas()
-    fig, ax = plt.subplots()
-    ax.scatter(rows["x1"], rows["x2"], s=1, c=pd.factorize(rows[color])[0] if color else None)
-    fig.savefig(path)
+    axes = ["x1", "x2", "x3"][: 3 if three else 2]
+    ax = plt.figure().add_subplot(projection="3d" if three else None)
+    if edges is not None:
+        for r in edges.limit(limit).toPandas().itertuples(index=False):
+            ax.plot(*([getattr(r, f"src_{c}"), getattr(r, f"dst_{c}")] for c in axes), color="grey", linewidth=0.2)
+    shade = None
+    if color:
+        first = rows[color].iloc[0] if len(rows) else 0
+        shade = np.stack(rows[color].to_numpy()) if np.ndim(first) else rows[color] if isinstance(first, float) else pd.factorize(rows[color])[0]
+    ax.scatter(*(rows[c] for c in axes), s=1, c=shade)
+    if axis_limits:
+        ax.set(xlim=axis_limits, ylim=axis_limits)
+    ax.figure.savefig(path)
+    plt.close(ax.figure)
+
+
+def film(snapshots: DataFrame, folder: str, every: int = 1, limit: int = 200_000) -> list[str]:
+    """Pictures of a solve's snapshots (iter, id, x), one an iteration, all with the same limits; returns their paths."""
+    steps = sorted(r[0] for r in snapshots.select("iter").distinct().collect())[::every]
+    top = snapshots.select(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
+    paths = []
+    for k in steps:
+        at = snapshots.where(F.col("iter") == k).select("id", F.get("x", F.lit(0)).alias("x1"), F.coalesce(F.get("x", F.lit(1)), F.lit(0.0)).alias("x2"))
+        paths.append(f"{folder}/{k:06d}.png")
+        render(at, paths[-1], limit=limit, axis_limits=(-top, top))
+    return paths

@@ -4,6 +4,7 @@ pinned. An extension; the embedding that is there does not move."""
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,21 @@ def place(batch: DataFrame, stored: DataFrame, embedding: DataFrame, k: int = 5,
     return spark.createDataFrame([(int(v), x[i].tolist()) for v, i in index.items()], "id bigint, x array<double>")
 
 
-def stream(source: DataFrame, stored: DataFrame, embedding: DataFrame, path: str, checkpoint: str, k: int = 5):
-    """A streaming query that places each micro-batch of source (id, x) and appends it to path."""
+def stream(source: DataFrame, stored: DataFrame, embedding: DataFrame, path: str, checkpoint: str, k: int = 5, grow: bool = False):
+    """A streaming query that places each micro-batch of source (id, x) and writes it to path, one folder an epoch, so a
+    batch that is run again replaces its rows. With grow, items placed by earlier epochs are stored items to later ones.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        place(batch, stored, embedding, k).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        spark, have, at = batch.sparkSession, stored, embedding
+        if grow and epoch:
+            try:
+                old = spark.read.schema("id bigint, x array<double>, features array<double>, epoch bigint").parquet(path).where(F.col("epoch") < epoch)
+                have, at = have.unionByName(old.select("id", F.col("features").alias("x"))), at.unionByName(old.select("id", "x"))
+            except AnalysisException:  # nothing was placed so far
+                pass
+        rows = materialize(batch.select("id", "x"))
+        placed = place(rows, have, at, k).join(rows.withColumnRenamed("x", "features"), "id")
+        placed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()

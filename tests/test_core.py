@@ -25,29 +25,31 @@ def got(df, *cols):
 
 
 def test_ring(spark):
-    g = Graph.from_edges(edges(spark, [(0, 1, 1), (1, 2, 2), (2, 3, 3), (3, 0, 4)]))
-    assert got(g.edges, "src", "dst", "weight") == [(0, 1, 1), (0, 3, 4), (1, 2, 2), (2, 3, 3)]
-    assert got(g.neighbours(3), "neighbour", "distance") == [(0, 4), (2, 3)]
-    assert (g.n_items, g.n_edges(), g.n_all_edges(), g.weight(3, 0), g.weight(0, 2)) == (4, 4, 6, 4.0, 0.0)
+    g = Graph.from_edges(edges(spark, [(4, 2, 7), (2, 0, 2.5), (0, 1, 1.5), (1, 3, 6), (3, 4, 0.5)]))
+    assert got(g.edges, "src", "dst", "weight") == [(0, 1, 1.5), (0, 2, 2.5), (1, 3, 6), (2, 4, 7), (3, 4, 0.5)]
+    assert got(g.neighbours(4), "neighbour", "distance") == [(2, 7), (3, 0.5)]
+    assert (g.n_items, g.n_edges(), g.n_all_edges(), g.weight(2, 4), g.weight(0, 4)) == (5, 5, 10, 7.0, 0.0)
 
 
 def test_repeated_edges_are_summed_and_zeros_dropped(spark):
-    g = Graph.from_edges(edges(spark, [(0, 3, 4), (3, 0, 5), (1, 2, 1), (2, 1, -1), (0, 1, 0)]))
-    assert got(g.edges, "src", "dst", "weight") == [(0, 3, 9)]
-    assert Graph.from_edges(edges(spark, [])).n_items == 0
+    g = Graph.from_edges(edges(spark, [(1, 6, 2.5), (6, 1, 0.25), (2, 4, 3), (4, 2, -3), (0, 1, 0), (5, 5, 0), (7, 3, float("inf"))]))
+    assert got(g.edges, "src", "dst", "weight") == [(1, 6, 2.75)] and g.n_items == 8
+    assert Graph.from_edges(edges(spark, [])).n_items == 0 and Graph.from_edges(edges(spark, [(0, 0, 0)])).n_items == 1
+    with pytest.raises(ValueError, match="self"):
+        Graph.from_edges(edges(spark, [(0, 1, 1), (4, 4, 2)]))
 
 
 def test_adjacency(spark):
-    g = Graph.from_adjacency(spark.createDataFrame([(0, [0.0, 2.0, 0.0, 3.0]), (1, [2.0, 0.0, 1.0, 1.0]), (2, [0.0, 1.0, 0.0, float("inf")]), (3, [3.0, 1.0, float("inf"), 0.0])], "id bigint, features array<double>"))
-    assert got(g.edges, "src", "dst", "weight") == [(0, 1, 2), (0, 3, 3), (1, 2, 1), (1, 3, 1)]
+    g = Graph.from_adjacency(spark.createDataFrame([(0, [0.0, 0.5, 4.0, 0.0]), (1, [0.5, 0.0, float("inf"), 6.0]), (2, [4.0, float("inf"), 0.0, -2.0]), (3, [0.0, 6.0, -2.0, 0.0])], "id bigint, features array<double>"))
+    assert got(g.edges, "src", "dst", "weight") == [(0, 1, 0.5), (0, 2, 4), (1, 3, 6), (2, 3, -2)]
     with pytest.raises(ValueError):
         Graph.from_adjacency(spark.createDataFrame([(0, [1.0])], "id bigint, features array<double>"))
 
 
 def test_paths_weighted_and_hops(spark):
-    g = Graph.from_edges(edges(spark, [(0, 1, 1), (1, 2, 2), (2, 3, 3), (3, 0, 3)]))
+    g = Graph.from_edges(edges(spark, [(0, 1, 2), (1, 2, 0.5), (2, 3, 4), (3, 0, 5)]))
     for p in (paths.shortest_paths(g).edges, paths.relax(g.edges)):
-        assert got(p, "src", "dst", "weight") == [(0, 1, 1), (0, 2, 3), (0, 3, 3), (1, 2, 2), (1, 3, 4), (2, 3, 3)]
+        assert got(p, "src", "dst", "weight") == [(0, 1, 2), (0, 2, 2.5), (0, 3, 5), (1, 2, 0.5), (1, 3, 4.5), (2, 3, 4)]
     n = 60
     ring = Graph.from_edges(edges(spark, [(i, (i + 1) % n, 2) for i in range(n)]))
     for p in (paths.shortest_paths(ring, 4).edges, paths.shortest_paths(ring, 4, broadcast_edges=0).edges):
@@ -99,8 +101,8 @@ def test_anchored_edges_go(spark):
 
 
 def test_knn_golden_and_brute(spark):
-    e = knn.knn_edges(knn.knn(points(spark, [[0], [1], [1.5], [1.75]]), 2))
-    assert got(e, "src", "dst", "weight") == [(0, 1, 1), (0, 2, 1), (1, 2, 2), (1, 3, 2), (2, 3, 2)]
+    e = knn.knn_edges(knn.knn(points(spark, [[5], [0], [2], [2.5], [9]]), 1))
+    assert got(e, "src", "dst", "weight") == [(0, 3, 1), (0, 4, 1), (1, 2, 1), (2, 3, 2)]
     x = np.random.default_rng(1).normal(size=(300, 5))
     x[10] = x[11] = x[12]
     p = points(spark, x)
@@ -128,13 +130,20 @@ def test_pairwise(spark):
 
 
 def test_average_distortion_and_gradient(spark):
-    x = np.array([[0.0, 0], [1, 1], [3, 3]])
-    e = edges(spark, [(0, 1, 1), (0, 2, 2), (1, 2, 3)])
-    assert distances.average_distortion(e, points(spark, x), K.quadratic()).first()[0] == pytest.approx(62 / 3)
+    rng = np.random.default_rng(8)
+    x, pairs_ = rng.normal(size=(6, 3)), [(0, 1), (0, 4), (1, 5), (2, 3), (2, 5)]
+    w = rng.uniform(0.5, 2, len(pairs_))
+    e = edges(spark, [(a, b, v) for (a, b), v in zip(pairs_, w)])
+    d2 = np.array([((x[a] - x[b]) ** 2).sum() for a, b in pairs_])
+    assert distances.average_distortion(e, points(spark, x), K.quadratic()).first()[0] == pytest.approx((w * d2).mean())
     g = {r["id"]: np.array(r["gradient"]) for r in distances.gradient(e, points(spark, x), K.quadratic()).collect()}
-    a = np.array([[1.0, 1, 0], [-1, 0, 1], [0, -1, -1]])
-    want = 2 / 3 * a @ np.diag([1, 2, 3]) @ a.T @ x
-    np.testing.assert_allclose(np.stack([g[i] for i in range(3)]), want)
+    want = np.zeros_like(x)
+    for (a, b), v in zip(pairs_, w):
+        want[a] += 2 * v * (x[a] - x[b]) / len(pairs_)
+        want[b] -= 2 * v * (x[a] - x[b]) / len(pairs_)
+    np.testing.assert_allclose(np.stack([g[i] for i in range(6)]), want)
+    part = distances.gradient(e, points(spark, x[:3]), K.quadratic()).collect()  # only (0, 1) has both ends
+    np.testing.assert_allclose(next(r["gradient"] for r in part if r["id"] == 0), 2 * w[0] * (x[0] - x[1]))
     same = distances.gradient(edges(spark, [(0, 1, 1)]), points(spark, [[1, 1], [1, 1]]), K.log1p()).collect()
     assert all(v == 0 for r in same for v in r["gradient"])
 
@@ -216,3 +225,36 @@ def test_join_totals_equal_the_join(spark):
         assert a[r["by"]]["left_sum"] == pytest.approx(r["left_sum"]) and a[r["by"]]["right_sum"] == pytest.approx(r["right_sum"])
     assert len(a) == want.count()
     assert hot_keys.join_totals(left.limit(0), right, "k").count() == 0
+
+
+def test_searches(spark):
+    rng = np.random.default_rng(2)
+    n = 30
+    rows = [(int(a), int(b), float(v)) for a, b, v in zip(rng.integers(0, n, 70), rng.integers(0, n, 70), rng.integers(1, 5, 70)) if a != b]
+    g = Graph.from_edges(edges(spark, rows), n)
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for r in g.edges.collect():
+        d[r["src"], r["dst"]] = d[r["dst"], r["src"]] = r["weight"]
+    for k in range(n):
+        d = np.minimum(d, d[:, k : k + 1] + d[k])
+    tree = {r["id"]: (r["length"], r["before"]) for r in paths.search_tree(g, 3).collect()}
+    assert {v: x for v, (x, _) in tree.items()} == {v: d[3, v] for v in range(n) if v != 3 and np.isfinite(d[3, v])}
+    assert all(d[3, b] + g.weight(v, b) == x for v, (x, b) in list(tree.items())[:5])
+    want = {}
+    for s in range(n):
+        for v in [v for v in np.lexsort((np.arange(n), d[s])) if v != s and d[s, v] <= 6][:3]:
+            want[min(s, v), max(s, v)] = want.get((min(s, v), max(s, v)), 0) + 1
+    assert got(paths.graph_knn(g, 3, 6.0), "src", "dst", "weight") == sorted((int(a), int(b), float(w)) for (a, b), w in want.items())
+    half = paths.shortest_paths(g, retain_fraction=0.5)
+    assert got(half.edges, "src", "dst") == got(paths.shortest_paths(g, retain_fraction=0.5, broadcast_edges=0).edges, "src", "dst")
+    assert paths.search_tree(g, 99).count() == 0
+
+
+def test_first_rows_and_numbers(spark):
+    t = spark.createDataFrame([(int(k), int(i)) for i, k in enumerate(np.random.default_rng(0).integers(0, 10_000, 500))], "k bigint, i bigint")
+    want = sorted((r["k"], r["i"]) for r in t.collect())
+    for count in (1, 137, 500, 900):
+        assert got(pairs.first_rows(t, "k", count, 10_000, ["i"]), "k", "i") == want[:count]
+    assert [r["idx"] for r in pairs.numbered(t, "i").orderBy("i").collect()] == list(range(500))
+    assert pairs.numbered(t.limit(0), "i").count() == 0

@@ -54,11 +54,11 @@ def test_refused_parameters():
             bad()
 
 
-def test_custom_kernel_without_slope():
+def test_custom_kernel_without_slope(spark):
     k = K.custom(lambda d, w: w * d**2)
     np.testing.assert_allclose(k.slope(np.array([0.5, 2.0]), np.array([1.0, 3.0])), [1, 12], rtol=1e-6)
-    with pytest.raises(TypeError):
-        k.column(F.lit(1.0), F.lit(1.0))
+    rows = spark.createDataFrame([(0.5, 1.0), (2.0, 3.0)], "d double, w double").select(k.column(F.col("d"), F.col("w")).alias("v"))
+    assert sorted(r["v"] for r in rows.collect()) == [0.25, 12.0]
 
 
 @settings(max_examples=60, deadline=None)

@@ -139,9 +139,13 @@ def test_recipes(spark):
     x = np.random.default_rng(0).uniform(size=(100, 10))
     p = points(spark, x)
     lap = recipes.laplacian_embedding(p)
-    same = recipes.preserve_neighbors(p, attractive=K.quadratic(), repulsive=None)
-    a, b = lap.embed(), same.embed()
-    np.testing.assert_allclose(block(transform.align(a, b)), block(b), atol=1e-3)
+    lap.embed()
+    e = lap.edges.toPandas()
+    laplacian = np.zeros((100, 100))
+    for r in e.itertuples():
+        laplacian[[r.src, r.dst], [r.dst, r.src]] -= r.weight
+    np.fill_diagonal(laplacian, -laplacian.sum(axis=1))
+    assert lap.value == pytest.approx(100 / len(e) * np.linalg.eigvalsh(laplacian)[1:3].sum(), rel=1e-4)
     again = [sorted(map(tuple, recipes.preserve_neighbors(p).edges.collect())) for _ in range(2)]
     assert again[0] == again[1]
     d = recipes.preserve_distances(p, max_distances=1000)
@@ -150,8 +154,9 @@ def test_recipes(spark):
     d.embed(max_iter=50)
     assert d.value < before
     for init in ("quadratic", "random"):
-        q = recipes.preserve_neighbors(p, 1, constraint=C.Anchored([0, 1, 3], [[2.0], [1.0], [3.0]]), init=init)
-        np.testing.assert_allclose(q.initial[[0, 1, 3], 0], [2, 1, 3])
+        pins = C.Anchored([41, 7], [[-0.5, 4.0], [2.5, 0.25]])
+        q = recipes.preserve_neighbors(p, 2, constraint=pins, init=init)
+        np.testing.assert_allclose(q.initial[[41, 7]], pins.values)
     with pytest.raises(ValueError):
         recipes.preserve_neighbors(p, init="other")
     with pytest.raises(ValueError):
@@ -192,9 +197,11 @@ def test_neighbours_are_exact_unless_asked_otherwise(monkeypatch, n):
     assert recipes.neighbour_graph(Items(), 5, approximate=True) == recipes.neighbour_graph(Items(), 5, probes=3) == "approximate"
 
 
-def test_anchor_anchor_edges_are_gone(spark):
-    q = recipes.preserve_neighbors(points(spark, np.random.default_rng(0).normal(size=(3, 2))), 1, constraint=C.Anchored([0, 1], [[0.0], [1.0]]))
-    assert {(r["src"], r["dst"]) for r in q.edges.collect()} == {(0, 2), (1, 2)}
+def test_edges_between_pinned_items_are_gone(spark):
+    pinned = [2, 5, 11, 17]
+    q = recipes.preserve_neighbors(points(spark, np.random.default_rng(4).normal(size=(20, 3))), 1, constraint=C.Anchored(pinned, np.arange(4.0)[:, None]))
+    ends = [(r["src"], r["dst"]) for r in q.edges.collect()]
+    assert ends and not any(a in pinned and b in pinned for a, b in ends) and any((a in pinned) != (b in pinned) for a, b in ends)
 
 
 @pytest.mark.parametrize("n,k", [(5, 5), (1200, 5), (1500, 7), (2000, 9), (3001, 15), (10**6, 15)])
@@ -227,6 +234,35 @@ def test_stochastic_and_snapshots(spark):
     assert m.snapshots().select("iter").distinct().count() >= 2
 
 
+def test_stochastic_batches_beyond_the_driver(spark, monkeypatch):
+    from filigree.plans import problem
+
+    rng = np.random.default_rng(0)
+    e = spark.createDataFrame([(i, j, 1.0) for i in range(40) for j in range(i + 1, 40) if j == i + 1 or rng.random() < 0.3], EDGE)
+    m = MDE(40, 2, e, K.quadratic(), C.Standardized())
+    whole = m.embed() and m.value
+    monkeypatch.setattr(problem, "LOCAL_EDGES", 10)
+    monkeypatch.setattr(MDE, "_arrays", lambda self, edges=None, f=MDE._arrays: f(self, edges) if edges is not None else pytest.fail("all edges collected"))
+    m.embed(batch_size=60, max_iter=12)
+    assert whole <= m.average_distortion() < 3 * whole
+
+
+def test_trace_estimate():
+    a = np.diag(np.arange(1.0, 31)) + 0.1
+    product = lambda v: (a @ v.reshape(-1)).reshape(v.shape)
+    assert solver.trace_estimate(product, (15, 2), 90) == pytest.approx(np.trace(a))
+    assert abs(solver.trace_estimate(product, (15, 2), 30) - np.trace(a)) < 0.3 * np.trace(a)
+
+
+def test_weights_of_their_own_in_a_solve(spark):
+    rows = [(0, 1, (1.0, 5.0)), (1, 2, (2.0, 0.5)), (0, 2, (9.0, 0.0))]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint, weight struct<deviation: double, weight: double>")
+    for local in (True, False):
+        m = MDE(3, 2, e, K.loss_weighted_quadratic(given=True))
+        m.embed(local=local)
+        assert m.value == pytest.approx(0, abs=1e-8) and m.average_distortion() == pytest.approx(0, abs=1e-8)
+
+
 def test_incremental(spark):
     x = np.random.default_rng(0).normal(size=(60, 3))
     p = points(spark, x)
@@ -247,6 +283,47 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
 
 
+def test_a_stream_that_grows_and_is_run_again(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(40, 3))
+    p = points(spark, x)
+    for k, cond in enumerate(("id >= 30 AND id < 35", "id >= 35")):
+        p.where(cond).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema("id bigint, x array<double>").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    for ckpt in ("a", "b"):  # the second run writes the same epochs anew
+        q = incremental.stream(source, p.where("id < 30"), points(spark, x[:30, :2]), str(tmp_path / "out"), str(tmp_path / ckpt), grow=True)
+        q.processAllAvailable()
+        q.stop()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["id"] for r in got.collect()) == list(range(30, 40)) and got.select("epoch").distinct().count() == 2
+
+
+def test_named_datasets(spark, tmp_path):
+    root = tmp_path
+    (root / "population_genetics").mkdir()
+    for name, text in (("data", "a,b\n1,2\n3,4\n"), ("corrupted_data", "a,b\n5,6\n"), ("data_colors", "r,g,b\n0,0,1\n1,0,0\n"), ("corrupted_colors", "r,g,b\n0,1,0\n")):
+        (root / "population_genetics" / f"{name}.csv").write_text(text)
+    g = readers.population_genetics(spark, str(root))
+    assert block(g.data).tolist() == [[1, 2], [3, 4]] and block(g.other_data["corrupted_data"]).tolist() == [[5, 6]] and g.attribute is None
+    assert [tuple(r) for r in g.attributes["clean_colors"].orderBy("id").collect()] == [(0, [0, 0, 1]), (1, [1, 0, 0])]
+    at = root / "scholar"
+    at.mkdir()
+    np.savez(at / "scholar_graph.npz", data=np.array([2.0, 2.0]), indices=np.array([1, 0]), indptr=np.array([0, 1, 2]), shape=np.array([2, 2]))
+    spark.createDataFrame([("x", 0.5), ("y", 0.75)], "name string, coauthors_pct double").coalesce(1).write.parquet(str(at / "scholar_df.parquet"))
+    full = readers.google_scholar(spark, str(root), full=True)
+    assert full.data.n_items == 2 and [r["value"] for r in full.attribute.orderBy("id").collect()] == [0.5, 0.75]
+    at = root / "counties"
+    at.mkdir()
+    np.save(at / "county_data.npy", np.eye(2))
+    np.save(at / "democratic_fraction.npy", np.array([0.25, 0.5]))
+    for name in ("acs2017_county_data", "2016_US_County_Level_Presidential_Results"):
+        (at / f"{name}.csv").write_text("k\n1\n")
+    c = readers.counties(spark, str(root))
+    assert block(c.data).tolist() == [[1, 0], [0, 1]] and c.attribute.count() == 2 and set(c.other_data) == {"county_dataframe", "voting_dataframe"}
+    for load in (readers.mnist, readers.fashion_mnist, readers.google_scholar_interests, readers.covid19_scrna_wilk, readers.google_scholar):
+        with pytest.raises(FileNotFoundError):
+            load(spark, str(root))
+
+
 def test_readers(spark, tmp_path):
     a = np.arange(12.0).reshape(4, 3)
     np.save(tmp_path / "a.npy", a)
