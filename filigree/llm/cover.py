@@ -2,8 +2,8 @@
 
 Binning. Every feature is binned (bins of four radii); the records of one combination of bins are a cell, and the one
 of smallest id stands for it. A record farther than a radius from its cell's stand-in is a cell of its own. A cluster
-that bin borders cut is still one place to cover, so cells whose stand-ins are alike are joined (minimum labels). To
-find those, cells are looked up in a coarser grid of a few features (grid.py): a stand-in meets those of its own and of
+that bin borders cut is still one place to cover, so cells are joined (minimum labels) whose stand-ins are alike to each
+other or to a member of the other. To find those, cells are looked up in a coarser grid of a few features (grid.py): a stand-in meets those of its own and of
 touching coarse cells whose occupied box it can reach.
 
 Round-robin. Records are ranked within their cell, those of joined cells by that rank in turn, then all by rank and
@@ -113,8 +113,17 @@ class Cells:
         return single.select("dataset_id", "id").join(hit, "id", "left_anti").select("dataset_id", "id")
 
     def labelled(self) -> DataFrame:
-        """(dataset_id, label, part, id): equal labels iff the stand-ins of the parts are connected by alike pairs."""
-        label = min_labels(self.links).select(F.col("node").alias("part"), "label")
+        """(dataset_id, label, part, id): equal labels iff the parts are connected by stand-ins that are alike to each
+        other or to a member of the other part. Members are only looked at where labels still differ."""
+        label = materialize(min_labels(self.links))
+        of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+        maybe = self._met(self.stands, self.stands.where("mates > 0"), "b_reach").withColumnRenamed("b_id", "part")
+        maybe = maybe.join(of("a_id"), "a_id", "left").join(of("part"), "part", "left")
+        maybe = materialize(maybe.selectExpr("part", "a_features", "coalesce(l_a_id, a_id) AS a", "coalesce(l_part, part) AS b").where("a <> b"))
+        members = self.items.where("settled").select("part", F.col("features").alias("b_features"))
+        near = maybe.join(members, "part").where(squared("a_features", "b_features", PREFIX) <= self.radius**2 * (1 + 1e-9))
+        hit = near.where(distance("a_features", "b_features") <= self.radius).select("a", "b").distinct()
+        label = min_labels(self.links.unionByName(hit)).select(F.col("node").alias("part"), "label")
         each = self.items.select("dataset_id", "part", "id").join(label, "part", "left")
         return each.select("dataset_id", F.coalesce("label", "part").alias("label"), "part", "id")
 

@@ -196,7 +196,8 @@ rep AS (SELECT dataset_id, bin, min(id) AS rep FROM bin GROUP BY ALL),
 each AS (SELECT b.dataset_id, b.id, b.features, CASE WHEN b.id <> rep AND {_DIST.replace("a.", "b.").replace("b.features, b.features", "b.features, r.features")} <= 1 THEN rep ELSE b.id END AS part
   FROM bin b JOIN rep USING (dataset_id, bin) JOIN usable r ON r.id = rep.rep),
 stand AS (SELECT * FROM each WHERE id = part),
-alike AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM stand a JOIN stand b ON a.dataset_id = b.dataset_id WHERE a.id = b.id OR {_DIST} <= 1.0),
+met AS MATERIALIZED (SELECT a.id AS a, b.part AS b FROM stand a JOIN each b ON a.dataset_id = b.dataset_id WHERE a.id = b.id OR {_DIST} <= 1.0),
+alike AS MATERIALIZED (SELECT a, b FROM met UNION SELECT b, a FROM met),
 spread AS (SELECT 0 AS r, id, id AS l FROM stand UNION ALL SELECT r + 1, e.a, min(l) FROM spread JOIN alike e ON spread.id = e.b WHERE r < 40 GROUP BY r, e.a),
 one AS (SELECT e.dataset_id, e.id, e.part, s.l AS label FROM each e JOIN spread s ON e.part = s.id WHERE s.r = 40),
 turn AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, part ORDER BY md5(concat_ws('-', dataset_id, id)), id) AS turn FROM one),
