@@ -335,12 +335,13 @@ def kernels_in_sql(spark, d):
 @query("SELECT round(2.0 * 2 * 2 * (count(*) - 1) / (count(*) - 1), 4)::DOUBLE AS trace FROM supplier")
 def curvature_trace(spark, d):
     """The trace of the second derivative of a chain's mean squared length: 2 / p times that of its Laplacian, for each
-    of two coordinates. With as many products as numbers the estimate is exact."""
+    of two coordinates. With as many products as numbers the estimate is exact; items that no edge ties share theirs."""
     edges, n = _chain(spark, d)
     free = Anchored(np.zeros(0, np.int64), np.zeros((0, 2)))
     objective = MDE(n, 2, edges, K.quadratic()).objective()
     product = solver.hessian_product(objective, free, np.random.default_rng(0).standard_normal((n, 2)))
-    return spark.createDataFrame([(round(solver.trace_estimate(product, (n, 2), 6 * n), 4),)], "trace double")
+    apart = solver.colours(objective.src, objective.dst, n) if isinstance(objective, solver.LocalObjective) else None
+    return spark.createDataFrame([(round(solver.trace_estimate(product, (n, 2), 6 * n, colour=apart), 4),)], "trace double")
 
 
 @query("SELECT count(*) AS items, true AS refused, true AS even FROM supplier")

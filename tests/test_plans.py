@@ -1,3 +1,4 @@
+import tracemalloc
 import warnings
 
 import numpy as np
@@ -254,6 +255,31 @@ def test_trace_estimate():
     assert abs(solver.trace_estimate(product, (15, 2), 30) - np.trace(a)) < 0.3 * np.trace(a)
 
 
+def test_exact_trace_keeps_few_blocks():
+    """With as many products as numbers no array of their square is made, and each number is asked for once."""
+    n, asked = 1500, []
+    weight = np.arange(1.0, 2 * n + 1).reshape(n, 2)
+    product = lambda v: asked.append(1) or weight * v
+    tracemalloc.start()
+    assert solver.trace_estimate(product, (n, 2), 6 * n) == pytest.approx(weight.sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000 and len(asked) == 2 * n
+
+
+def test_trace_by_colours():
+    """Unlike weights on an odd ring with a chord and an item without edges: equal to the dense Hessian's trace."""
+    src, dst = np.array([0, 1, 2, 3, 0, 0]), np.array([1, 2, 3, 4, 4, 2])
+    colour = solver.colours(src, dst, 6)
+    assert (colour[src] != colour[dst]).all() and colour.max() == 2 and colour[5] == 0
+    objective = solver.LocalObjective(src, dst, np.arange(1.0, 7), K.log1p())
+    for free in (C.Anchored(np.zeros(0, np.int64), np.zeros((0, 2))), C.Anchored(np.array([1]), np.ones((1, 2)))):
+        product = solver.hessian_product(objective, free, np.random.default_rng(1).standard_normal((6, 2)))
+        dense = np.column_stack([product(u.reshape(6, 2)).ravel() for u in np.eye(12)])
+        assert solver.trace_estimate(product, (6, 2), 6, colour=colour) == pytest.approx(np.trace(dense), rel=1e-5)
+        assert solver.trace_estimate(product, (6, 2), 12) == pytest.approx(np.trace(dense), rel=1e-9)
+
+
 def test_weights_of_their_own_in_a_solve(spark):
     rows = [(0, 1, (1.0, 5.0)), (1, 2, (2.0, 0.5)), (0, 2, (9.0, 0.0))]
     e = spark.createDataFrame(rows, "src bigint, dst bigint, weight struct<deviation: double, weight: double>")
