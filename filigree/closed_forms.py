@@ -110,7 +110,7 @@ def spanning_forest_of_a_line(spark, d):
     v = _suppliers(spark, d).select("v").distinct()
     w = v.selectExpr("v", "row_number() OVER (ORDER BY xxhash64(v)) - 1 AS id")
     v = materialize(w.select(F.col("id").cast("bigint").alias("id"), F.array("v").alias("x")))
-    tree = paths.spanning_forest(Graph(distances.pairwise(spark, v).withColumnRenamed("distance", "weight"), v.count()))
+    tree = paths.spanning_forest_of_points(v)
     return tree.agg(F.count("*").alias("edges"), _r(F.sum("weight"), 2).alias("total"))
 
 

@@ -2,7 +2,7 @@
 
 Where the edges fit a broadcast (checked), sources are spread over tasks and searched on arrays, whole frontiers at a
 time; neighbours by path end their search at the k-th. Beyond that, distance tables are relaxed by joins until nothing
-shrinks.
+shrinks. Spanning forests come from forests of ever larger parts of the edges.
 """
 
 from __future__ import annotations
@@ -11,13 +11,18 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.operators.distances import _all_in_tile
 from filigree.operators.graph import Graph
+from filigree.operators.knn import tiles
 from filigree.session import materialize, release
 
 BROADCAST_EDGES = 20_000_000
+HELD_EDGES = 1 << 20
+LAST_EDGES = 4_000_000
 
 
 class Search:
@@ -206,12 +211,119 @@ def graph_knn(graph: Graph, k: int, max_distance: float | None = None) -> DataFr
     return top.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
 
 
-def spanning_forest(graph: Graph) -> DataFrame:
-    """Edges of a minimum spanning forest: each round every component takes its least edge outwards (ties by ends)
-    and the components it joins become one."""
+def _numbers(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ends as numbers 0..n-1, and n."""
+    low, high = int(min(src.min(), dst.min())), int(max(src.max(), dst.max()))
+    if high - low > 8 * len(src):
+        nodes, ends = np.unique(np.r_[src, dst], return_inverse=True)
+        return ends[: len(src)], ends[len(src) :], len(nodes)
+    src, dst, seen = src - low, dst - low, np.zeros(high - low + 1, bool)
+    seen[src] = seen[dst] = True
+    number = np.cumsum(seen) - 1
+    return number[src], number[dst], int(number[-1]) + 1
+
+
+def _join(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the forest's edges among edges that are in order; the labels of what they join become one, in place."""
+    out, at, la, lb = [], np.arange(len(a)), label[a], label[b]
+    while True:
+        apart = la != lb
+        at, la, lb = at[apart], la[apart], lb[apart]
+        if not len(at):
+            return np.concatenate(out) if out else at
+        first, second = np.full((2, len(label)), len(a))
+        first[la[::-1]] = second[lb[::-1]] = at[::-1]  # of equal places the last value stays, which is the least
+        best = np.minimum(first, second)
+        c = np.flatnonzero(best < len(a))
+        parent, e = np.arange(len(label)), best[c]
+        parent[c] = label[a[e]] + label[b[e]] - c
+        roots = c[(parent[parent[c]] == c) & (c < parent[c])]
+        parent[roots] = roots
+        while (parent != (up := parent[parent])).any():
+            parent = up
+        label[:], la, lb = parent[label], parent[la], parent[lb]
+        out.append(np.unique(e))
+
+
+def forest(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest, ties by ends. The lightest edges are sorted and joined first;
+    heavier ones within what these join are the last of a cycle and drop out unsorted."""
+    if not len(src):
+        return np.zeros(0, np.int64)
+    a, b, n = _numbers(src, dst)
+    w = np.where(np.isnan(weight), np.inf, weight) if np.isnan(weight).any() else weight
+    label, left, most, taken = np.arange(n), np.arange(len(src)), 4 * n, []
+    while len(left):
+        light = w[left] <= np.partition(w[left], most)[most] if len(left) > 2 * most else np.ones(len(left), bool)
+        now = left[light]
+        now = now[np.lexsort((dst[now], src[now], w[now]))]
+        taken.append(now[_join(a[now], b[now], label)])
+        if sum(map(len, taken)) == n - 1:
+            break
+        left, most = left[~light], 4 * most
+        left = left[label[a[left]] != label[b[left]]]
+    return np.concatenate(taken)
+
+
+def _thinned(parts, most: int):
+    """Of an iterator of arrays (src, dst, weight), what is no heaviest edge of a cycle: one forest, or, where it is
+    larger than half of the `most` edges that are held, one of each stretch of so many."""
+    held, n = [], 0
+
+    def cut():
+        src, dst, weight = (np.concatenate(c) for c in zip(*held))
+        keep = forest(src, dst, weight)
+        return src[keep], dst[keep], weight[keep]
+
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n > most:
+            held = [cut()]
+            n = len(held[0][0])
+            if n > most // 2:
+                yield held.pop()
+                n = 0
+    if held:
+        yield cut()
+
+
+def _thin(edges: DataFrame, most: int) -> DataFrame:
+    """The edges that are left of each task's (_thinned)."""
+
+    def run(batches):
+        schema = None
+
+        def parts():
+            nonlocal schema
+            for b in batches:
+                schema = b.schema
+                yield tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+
+        for part in _thinned(parts(), most):
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(part, schema)], schema=schema)
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def spanning_forest(graph: Graph, last_edges: int = LAST_EDGES) -> DataFrame:
+    """Edges of a minimum spanning forest, ties by ends.
+
+    Every task drops the heaviest edge of each cycle within its own edges, which is in no such forest; what is left goes
+    to fewer tasks, and at last, with at most last_edges, to one. Where that does not halve the edges (very many nodes),
+    joins go on: each round every component takes its least edge outwards and the components it joins become one.
+    """
     from filigree.operators.components import min_labels
 
-    edges = materialize(graph.edges)
+    edges = graph.edges.select("src", "dst", "weight").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    edges = materialize(_thin(edges, HELD_EDGES))
+    n, before = edges.count(), float("inf")
+    while n > last_edges and n <= before / 2:
+        thinner = materialize(_thin(edges.coalesce(-(-n // last_edges)), max(last_edges, HELD_EDGES)))
+        release(edges)
+        edges, before, n = thinner, n, thinner.count()
+    if n <= last_edges:
+        return _thin(edges.coalesce(1), last_edges)
     label = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("label", F.col("node")))
     taken = None
     while True:
@@ -227,3 +339,21 @@ def spanning_forest(graph: Graph) -> DataFrame:
         label = materialize(label.join(new, label.label == new.old, "left").select("node", F.coalesce("new", "label").alias("label")))
     out = taken if taken is not None else edges.limit(0)
     return out.select("src", "dst", "weight").distinct()
+
+
+def spanning_forest_of_points(items: DataFrame) -> DataFrame:
+    """spanning_forest() of all pairs of items (id, x) by their distance, as distances.pairwise() has them: copies are not
+    tied. Every distance is made, but a task keeps the forest of its pairs only, so the pairs are never a table."""
+
+    def run(tiles_):
+        def parts():
+            for b in _all_in_tile(tiles_):
+                src, dst, weight = (b[c].to_numpy() for c in ("src", "dst", "distance"))
+                keep = forest(src, dst, weight)
+                yield src[keep], dst[keep], weight[keep]
+
+        for src, dst, weight in _thinned(parts(), HELD_EDGES):
+            yield pd.DataFrame({"src": src, "dst": dst, "weight": weight})
+
+    grid = tiles(items, 512).coalesce(4 * items.sparkSession.sparkContext.defaultParallelism)
+    return spanning_forest(Graph(grid.mapInPandas(run, "src bigint, dst bigint, weight double"), items.count()))

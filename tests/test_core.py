@@ -66,6 +66,47 @@ def test_graph_knn_and_forest(spark):
     assert got(paths.spanning_forest(g), "src", "dst") == [(0, 1), (1, 2), (2, 3)]
 
 
+def kruskal(rows):
+    root, out = {}, []
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for w, a, b in sorted((w, a, b) for a, b, w in rows):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            out.append((a, b, w))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("held, last", [(1 << 20, 1 << 20), (64, 400), (64, 1)])
+def test_forest_with_ties(spark, monkeypatch, held, last):
+    """The edges that Kruskal takes, ties by ends, in one task, after several rounds of thinning, and by joins."""
+    monkeypatch.setattr(paths, "HELD_EDGES", held)
+    rng = np.random.default_rng(0)
+    pairs_ = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (900, 2)) if a != b and (a < 40) == (b < 40)}
+    rows = [(a * 1_000_003, b * 1_000_003, float(rng.integers(1, 6))) for a, b in sorted(pairs_)]
+    assert got(paths.spanning_forest(Graph(edges(spark, rows).repartition(7), 60), last), "src", "dst", "weight") == kruskal(rows)
+    assert paths.spanning_forest(Graph.empty(spark, 3), last).count() == 0
+
+
+def test_forest_of_points_makes_no_table_of_pairs(spark, monkeypatch):
+    """Clusters of points and copies over several blocks: the tree is Kruskal's over all pairs, and no table on the way
+    has more rows than the forests of its tasks."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(700, 2)) + 50 * rng.integers(0, 3, (700, 1))
+    x[600:] = x[:100]
+    items = points(spark, x).repartition(3)
+    sizes, write = [], paths.materialize
+    monkeypatch.setattr(paths, "materialize", lambda df: sizes.append((t := write(df)).count()) or t)
+    want = kruskal([tuple(r) for r in distances.pairwise(spark, items).collect()])
+    tree = got(paths.spanning_forest_of_points(items), "src", "dst", "weight")
+    assert [(a, b) for a, b, _ in tree] == [(a, b) for a, b, _ in want] and len(tree) == 699
+    assert sizes and max(sizes) <= 3 * 699
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 40])
 def test_decode_is_row_major(spark, n):
     assert got(pairs.all_pairs(spark, n), "src", "dst") == list(itertools.combinations(range(n), 2))
